@@ -11,6 +11,7 @@ are remembered, so a worker's trie only gets what is new to it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -29,7 +30,7 @@ _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Pieces that a worker remembers, and words that one trie holds.
-REMEMBERED, TRIE_WORDS = 300_000, 20_000
+REMEMBERED, TRIE_WORDS = 500_000, 40_000
 
 
 def default_path() -> str:
@@ -58,7 +59,8 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(SUFFIX)}
         self.final = {t[: -len(SUFFIX)]: i for t, i in vocab.items() if t.endswith(SUFFIX)}
-        self.longest = max(map(len, vocab))
+        #: What tokens begin with.
+        self.starts = {t[:n] for names in (self.inner, self.final) for t in names for n in range(1, len(t) + 1)}
         self.merged: dict[tuple[int, int], int] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
@@ -70,15 +72,15 @@ class Bpe:
                 self.rank[x, y] = r
                 self.split.setdefault(z, (x, y))
         self.chars = byte_chars()
-        self.whole: dict[int, bool] = {}  # does a token's own text encode to it?
+        self.whole: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.seen: dict[str, tuple[int, str, str]] = {}
 
-    def _is_whole(self, token: int) -> bool:
+    def _is_whole(self, token: int, end: bool) -> bool:
+        """Does a token's own text encode to it?"""
         got = self.whole.get(token)
         if got is None:
             name = self.names[token]
-            end = name.endswith(SUFFIX) and token in self.final.values() if len(name) > len(SUFFIX) else False
             got = self.whole[token] = self.merge(name[: -len(SUFFIX)] if end else name, end) == [token]
         return got
 
@@ -123,48 +125,75 @@ class Bpe:
                     x = self.split[x][1]
                 else:
                     y = self.split[y][0]
-        if len(self.pairs) > 500_000:
-            self.pairs.clear()
         self.pairs[a, b] = got
         return got
 
-    def _last(self, path: str, last: list[int], lens: list[int], tokens: dict[str, int]) -> tuple[int, int]:
-        """The last token of a path's encoding among `tokens`, and its length; last[i], lens[i] are those of path[:i]."""
-        n = len(path)
-        for at in range(max(0, n - self.longest), n):
-            t = tokens.get(path[at:])
-            if t is not None and self._is_whole(t) and (not at or self._stay(last[at], t)):
-                return t, n - at
-        raise ValueError(f"no encoding for {path!r}")
-
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Byte-level words -> token ids, by one trie of all of them."""
         root: dict = {}
         for w in words:
             node = root
             for c in w[:-1]:
-                node = node.setdefault(c, {})
+                nxt = node.get(c)
+                if nxt is None:
+                    nxt = node[c] = {}
+                node = nxt
             node.setdefault("", []).append(w[-1])  # a word's last character is a symbol of another kind
         out: dict[str, list[int]] = {}
-        last, lens = [-1], [0]
-        stack: list[tuple[int, str, dict]] = [(0, "", root)]
+        inner, final, starts, whole, pairs = self.inner, self.final, self.starts, self.whole, self.pairs
+        if len(pairs) > 500_000:
+            pairs.clear()
+        # last[n]: the last token of path[:n]; back[n]: the length of what stands before it.
+        last, back = [-1] * (self.depth_of(root) + 1), [0] * (self.depth_of(root) + 1)
+        stack: list[tuple[str, dict, int]] = [("", root, 0)]
         while stack:
-            depth, path, node = stack.pop()
-            del last[max(depth, 1) :], lens[max(depth, 1) :]
-            if depth:
-                t, n = self._last(path, last, lens, self.inner)
-                last.append(t)
-                lens.append(n)
-            for c in node.get("", ()):
-                t, n = self._last(path + c, last, lens, self.final)
-                ids, at = [t], depth + 1 - n
-                while at:
-                    ids.append(last[at])
-                    at -= lens[at]
-                out[path + c] = ids[::-1]
-            stack.extend((depth + 1, path + c, child) for c, child in node.items() if c)
+            path, node, lo = stack.pop()
+            n = len(path)
+            if n:
+                while path[lo:] not in starts:  # no token holds what no token begins with
+                    lo += 1
+                for at in range(lo, n):
+                    t = inner.get(path[at:])
+                    if t is None:
+                        continue
+                    ok = whole.get(t)
+                    if not (self._is_whole(t, False) if ok is None else ok):
+                        continue
+                    if at:
+                        ok = pairs.get((last[at], t))
+                        if not (self._stay(last[at], t) if ok is None else ok):
+                            continue
+                    last[n], back[n] = t, at
+                    break
+            for c, child in node.items():
+                if c:
+                    stack.append((path + c, child, lo))
+                    continue
+                for c in child:  # the words that end here  # noqa: PLW2901
+                    word = path + c
+                    for at in range(lo, n + 1):
+                        t = final.get(word[at:])
+                        if t is not None and self._is_whole(t, True) and (not at or self._stay(last[at], t)):
+                            break
+                    else:
+                        raise ValueError(f"no encoding for {word!r}")
+                    ids = [t]
+                    while at:
+                        ids.append(last[at])
+                        at = back[at]
+                    ids.reverse()
+                    out[word] = ids
         return out
 
+    @staticmethod
+    def depth_of(root: dict) -> int:
+        """Levels of a trie."""
+        depth, level = 0, [root]
+        while level:
+            level = [x for node in level for c, x in node.items() if c]
+            depth += 1
+        return depth
+
     def _pre_tokens(self, piece: str) -> list[str | int]:
         """A piece without white space -> byte-level words, and ids of special tokens."""
         out: list[str | int] = []
@@ -186,12 +215,17 @@ class Bpe:
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
             new = list(set(pieces))
+        new.sort(key=str.lower)  # neighbours share prefixes
+        collect = gc.isenabled()
+        gc.disable()  # a trie is many small dicts and no cycle
         for i in range(0, len(new), TRIE_WORDS):
             cut = {p: self._pre_tokens(p) for p in new[i : i + TRIE_WORDS]}
             codes = self.encode_words({w for ws in cut.values() for w in ws if isinstance(w, str)})
             for p, ws in cut.items():
                 ids = [t for w in ws for t in ([w] if isinstance(w, int) else codes[w])]
                 self.seen[p] = len(ids), " ".join(map(str, ids)), " ".join([self.names[t] for t in ids])
+        if collect:
+            gc.enable()
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)

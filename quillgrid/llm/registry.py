@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, mixing, secrets_ledger
+from . import bitsliced, bpe_trie, mixing, mpegts, quality_gbt, secrets_ledger, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_transport_stream": mpegts.op1,
     "op2_secret_ledger": secrets_ledger.op2,
     "op3_bitsliced_topk": bitsliced.op3,
+    "op5_bpe_trie": bpe_trie.op5,
+    "op6_toxicity": toxicity.op6,
+    "op7_substring_dedup": substring.op7,
+    "op9_quality_trees": quality_gbt.op9,
     "op10_fair_queue_mix": mixing.op10,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_ledger": secrets_ledger.ORACLE,
     "op3_bitsliced_topk": bitsliced.ORACLE,
+    "op7_substring_dedup": substring.ORACLE,
     "op10_fair_queue_mix": mixing.ORACLE,
 }
