@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, bpe_trie, mixing, mpegts, quality_gbt, secrets_ledger, substring, toxicity
+from . import bitsliced, bpe_trie, dartminhash, mixing, mpegts, quality_gbt, secrets_ledger, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": mpegts.op1,
     "op2_secret_ledger": secrets_ledger.op2,
     "op3_bitsliced_topk": bitsliced.op3,
+    "op4_dart_minhash": dartminhash.op4,
     "op5_bpe_trie": bpe_trie.op5,
     "op6_toxicity": toxicity.op6,
     "op7_substring_dedup": substring.op7,
