@@ -1,6 +1,67 @@
-STAGES = []
-ORACLE_SQL = None
+"""A training corpus in five stages: quality, near duplicates, secrets, source mix, tokens."""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgrid.llm import bpe_trie, dartminhash, mixing, quality_gbt, secrets_ledger
+from quillgrid.llm.common import shared_path, stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = quality_gbt.classify(docs, table(spark, sf_dir, "labels"), keep_text=True)
+    return scored.where(F.col("score") >= quality_gbt.THRESHOLD).drop("score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: that with the smallest id, once."""
+    named = dartminhash.classes(docs.select("doc_id", "text"))
+    stay = named.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    nameless = docs.where(F.col("doc_id").isNull())
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; all documents stay, with n_chars of the new text."""
+    found = secrets_ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"), shared_path(spark, "ledger"), blobs_only=True)
+    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    both = docs.withColumn("blob", blob).join(found.where(F.size("findings") > 0), "blob", "left")
+    text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(secrets_ledger.redacted(F.col("text"), F.col("findings")))
+    return both.withColumn("text", text).withColumn("n_chars", F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    copies = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", "copies").dropDuplicates(["doc_id"])
+    both = docs.join(copies, "doc_id")
+    return both.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids of every document."""
+    return bpe_trie.encode(docs.select("doc_id", "source", "text"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: Neither the classifier nor the near duplicates can be put in SQL; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i}")
+    return docs

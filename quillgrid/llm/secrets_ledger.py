@@ -31,11 +31,11 @@ def spans(text: Column, kind: str, order: int, rules: dict[str, tuple[str, int,
     A text's pieces between the matches and the matches themselves alternate, so running lengths give positions.
     """
     pattern, group, least = rules[kind]
-    # A run of one class can be asked for its least length at once: the leftmost match takes a run to its end.
     whole = group == 0
-    regex = F.lit(pattern.removesuffix("+") + f"{{{max(1, least - (4 if kind == 'access' else 0))},}}" if whole else pattern)
+    if whole:  # a run of one class can be asked for its least length at once: the leftmost match takes a run to its end
+        pattern = f"{pattern.removesuffix('+')}{{{least - (4 if kind == 'access' else 0)},}}"
+    regex = F.lit(pattern)
     found = F.regexp_extract_all(text, regex, F.lit(0))
-    keep = F.lit(True) if whole else None
     empty = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string>>)")
     lengths = F.transform(found, lambda m: F.length(m))
     gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
@@ -47,10 +47,10 @@ def spans(text: Column, kind: str, order: int, rules: dict[str, tuple[str, int,
         begin = acc["at"] + z["g"]
         end = begin + F.coalesce(z["l"], F.lit(0).cast("bigint"))
         one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind")))
-        wanted = z["l"].isNotNull() & (keep if keep is not None else z["n"] >= least)
+        wanted = z["l"].isNotNull() & (F.lit(True) if whole else z["n"] >= least)
         return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern if not whole else pattern.removesuffix("+") + f"{{{max(1, least - (4 if kind == 'access' else 0))},}}"), F.aggregate(zipped, start, add)["out"]).otherwise(empty)
+    return F.when(text.rlike(pattern), F.aggregate(zipped, start, add)["out"]).otherwise(empty)
 
 
 def scan_blobs(blobs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
@@ -59,12 +59,12 @@ def scan_blobs(blobs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES)
     return blobs.select("blob", F.array_sort(F.concat(*each)).alias("findings"))
 
 
-def scan(paths: DataFrame, ledger: str, rules: dict[str, tuple[str, int, int]] = RULES, version: str = RULE_VERSION) -> DataFrame:
+def scan(paths: DataFrame, ledger: str, rules: dict[str, tuple[str, int, int]] = RULES, version: str = RULE_VERSION, blobs_only: bool = False) -> DataFrame:
     """Scan what the ledger at this path lacks and return paths' columns but text, with blob and findings.
 
     paths has a text column and any others, such as path and version. A null text is the empty blob; an empty table
     leaves the ledger as it is; repeated rows each get the findings. Extra columns are carried; their names must not
-    be blob or findings. A ledger has only whole files: Spark's commit makes an append visible when the job ends.
+    be blob or findings. blobs_only: return the ledger's blobs and findings of this version, unjoined. A ledger has only whole files: Spark's commit makes an append visible when the job ends.
     """
     spark = paths.sparkSession
     named = paths.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
@@ -78,7 +78,7 @@ def scan(paths: DataFrame, ledger: str, rules: dict[str, tuple[str, int, int]] =
         blobs = named.select("blob", "text").join(known, "blob", "left_anti").dropDuplicates(["blob"])
     scan_blobs(blobs, rules).select("blob", F.lit(version).alias("version"), "findings").write.mode("append").parquet(ledger)
     found = spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).select("blob", "findings")
-    return named.drop("text").join(found, "blob")
+    return found if blobs_only else named.drop("text").join(found, "blob")
 
 
 def joined(findings: Column) -> Column:
@@ -93,9 +93,7 @@ def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
         gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(findings, start, cut)
     rest = F.aggregate(findings, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    del done
     return F.when(F.size(findings) > 0, rest).otherwise(text)
 
 
