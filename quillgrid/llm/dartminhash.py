@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -22,6 +22,8 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Most bits of the filter of documents to compare: 64 MB. More documents than it tells apart pass it and are joined away.
+FILTER_BITS = 1 << 29
 #: Documents on either side of a meeting within a large bucket.
 BLOCK = 256
 _U = np.uint64
@@ -132,23 +134,50 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, shingle: int, counted: bool) -> DataFrame:
-    """doc_id, text -> id and its set of shingles as sorted keys; counted: the n-th occurrence is an element of its own."""
+def _filter(ids: DataFrame) -> tuple[bytes, int]:
+    """A Bloom filter of ids and its size in bits: at most FILTER_BITS, whatever their number, so it may be broadcast."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (ids.count() * 16).bit_length()))
+    cells = ids.select(F.explode(F.array(*_cells(bits))).alias("cell"))
+    # bitmap_bit_position counts from 0 within a bucket of 2^15 bits, buckets from 1
+    parts = cells.groupBy(F.bitmap_bucket_number("cell").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("part"))
+    out = bytearray((bits >> 3) + 4096)
+    for r in parts.toLocalIterator():
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["part"]
+    return bytes(out), bits
+
+
+def _cells(bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) + 1 for i in range(2)]
+
+
+def _sets(docs: DataFrame, involved: DataFrame, shingle: int, counted: bool) -> DataFrame:
+    """id and its set of shingles as sorted keys, for rows whose doc_id is involved; counted: the n-th occurrence is an element of its own.
+
+    Texts are not shuffled: rows that a filter of the ids rules out are dropped where they are read.
+    """
+    raw_filter, bits = _filter(involved)
+    shipped = docs.sparkSession.sparkContext.broadcast(raw_filter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
+            maybe = np.ones(batch.num_rows, dtype=bool)
+            for i in (2, 3):
+                cell = batch.column(i).to_numpy() - 1
+                maybe &= (held[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+            batch = batch.filter(pa.array(maybe))  # noqa: PLW2901
             for b in tk.blocks(batch.column(1)):
                 keys, of, times, _ = shingles(b, shingle)
                 if counted:
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     keys, of = tk.mix(np.repeat(keys, times) + nth.astype(_U)), np.repeat(of, times)
-                    order = np.lexsort((keys, of))
-                    keys = keys[order]
+                    keys = keys[np.lexsort((keys, of))]
                 first = np.searchsorted(of, np.arange(b.n + 1))
                 raw = [keys[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.n), pa.array(raw, pa.binary())], names=["id", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, keys binary")
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", *[c.alias(f"cell{i}") for i, c in enumerate(_cells(bits))])
+    return known.mapInArrow(run, "id long, keys binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -237,8 +266,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     buckets = stored(member.join(stored(shared, "dart-shared"), "key"), "dart-buckets")
     pair = lambda d, x, y: d.where(F.col(x) > F.col(y)).select(F.col(x).alias("a"), F.col(y).alias("b"))
     pairs = stored(pair(buckets, "id", "lo").unionByName(pair(buckets, "hi", "id")).distinct(), "dart-pairs")
-    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(_sets(docs.join(involved, "doc_id", "left_semi"), shingle, counted), "dart-sets").dropDuplicates(["id", "keys"])
+    involved = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "dart-involved")
+    sets = stored(_sets(docs, involved, shingle, counted), "dart-sets").dropDuplicates(["id", "keys"])
     links = stored(_links(pairs, sets, least), "dart-links")
     label = components(links)
 
