@@ -24,7 +24,7 @@ FIT_ROWS, FIT_BYTES = 3000, 100_000
 THRESHOLD = 0.3
 ORDERS = (3, 4, 5)
 BITS = 20
-Z_LEAST = 3.0
+Z_LEAST = 4.0
 RIDGE, STEPS = 0.02, 400
 _PRIME = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,10 +119,10 @@ def fit(column: pa.Array, y: np.ndarray, prior: float) -> Model:
     rows, cols = [], []
     for b in tk.blocks(column):
         row, bucket = present(b, wanted)
-        rows.append(row + b.lo)
-        cols.append(number[bucket])
+        rows.append((row + b.lo).astype(np.int32))
+        cols.append(number[bucket].astype(np.int32))
     r, c = np.concatenate(rows), np.concatenate(cols)
-    v = ratio[wanted][c]
+    v = ratio[wanted][c].astype(np.float32)
     w, bias = np.zeros(int(wanted.sum())), 0.0
     weight = np.where(y == 1, prior / n[1], (1 - prior) / n[0])  # rows weigh as in the population
     bias = float(np.log(prior / (1 - prior)))
