@@ -217,10 +217,11 @@ def _across(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     others once. A meeting counts common shingles through an inverted index and yields links only, so no pair is ever a
     row, no task gets a whole bucket, and nothing is left out.
     """
-    home = members.where(F.col("p") == F.col("id")).select("p", F.col("class").alias("home"))
-    m = members.join(home, "p").withColumn("out", F.col("class") != F.col("home"))
+    home = stored(members.where(F.col("p") == F.col("id")).select("p", F.col("class").alias("home")), "dart-home")
+    # Written before it is counted, so that a pivot of very many members is split like any skewed key of a join.
+    m = stored(members.join(home, "p").withColumn("out", F.col("class") != F.col("home")), "dart-placed")
     blocks = m.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"), F.ceil(F.count_if("out") / BLOCK).cast("int").alias("lefts")).where(F.col("lefts") > 0)
-    m = stored(m.join(blocks, "p").join(sets, "id"), "dart-across")
+    m = stored(m.join(stored(blocks, "dart-blocks"), "p").join(sets, "id"), "dart-across")
     dealt = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = m.where("out").select("p", dealt("lefts").alias("l"), every("rights").alias("r"), "id", "class", "keys")
