@@ -25,7 +25,7 @@ BUDGET_HALVES = 3
 MAX_PASSES = 2
 SEED = "mix-1"
 #: Rows that one slice of a queue holds on average.
-SLICE_ROWS = 8192
+SLICE_ROWS = 2048
 #: Most slices of a unit of virtual time; later times than four units share the last slice.
 TIME_SLICES = 65536
 
