@@ -11,12 +11,14 @@ are remembered, so a worker's trie only gets what is new to it.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,10 @@ _PIECES = regex.compile(rf"[^{_SPACE}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Pieces that a worker remembers, and words that one trie holds.
-REMEMBERED, TRIE_WORDS = 500_000, 40_000
+#: Pieces that a worker remembers in each of two generations, words that one trie holds, and pairs of tokens judged.
+REMEMBERED, TRIE_WORDS, PAIRS = 300_000, 60_000, 200_000
+#: Characters of text whose pieces are learnt together, and whose results are sent together.
+LEARN_CHARS, SEND_CHARS = 10_000_000, 2_000_000
 
 
 def default_path() -> str:
@@ -75,6 +79,7 @@ class Bpe:
         self.whole: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.seen: dict[str, tuple[int, str, str]] = {}
+        self.before: dict[str, tuple[int, str, str]] = {}
 
     def _is_whole(self, token: int, end: bool) -> bool:
         """Does a token's own text encode to it?"""
@@ -141,7 +146,7 @@ class Bpe:
             node.setdefault("", []).append(w[-1])  # a word's last character is a symbol of another kind
         out: dict[str, list[int]] = {}
         inner, final, starts, whole, pairs = self.inner, self.final, self.starts, self.whole, self.pairs
-        if len(pairs) > 500_000:
+        if len(pairs) > PAIRS:
             pairs.clear()
         # last[n]: the last token of path[:n]; back[n]: the length of what stands before it.
         last, back = [-1] * (self.depth_of(root) + 1), [0] * (self.depth_of(root) + 1)
@@ -211,10 +216,12 @@ class Bpe:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Make sure that `seen` has these pieces: number of tokens, ids and names, each joined by spaces."""
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.before = {}, self.seen
         new = [p for p in set(pieces) if p not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = list(set(pieces))
+        if self.before:
+            self.seen.update((p, self.before[p]) for p in new if p in self.before)
+            new = [p for p in new if p not in self.before]
         new.sort(key=str.lower)  # neighbours share prefixes
         collect = gc.isenabled()
         gc.disable()  # a trie is many small dicts and no cycle
@@ -227,6 +234,14 @@ class Bpe:
         if collect:
             gc.enable()
 
+    def forget(self) -> None:
+        """Free what only speeds things up."""
+        self.seen, self.before = {}, {}
+        self.pairs.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc keeps what was freed otherwise
+            trim(0)
+
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
         self.learn(pieces)
@@ -249,42 +264,43 @@ def bpe(raw: str) -> Bpe:
     return _loaded[key]
 
 
-def _groups(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    """Texts in order, in groups of a bounded number of characters."""
-    group, n = [], 0
-    for t in texts:
-        if group and n + len(t) > most:
-            yield group
-            group, n = [], 0
-        group.append(t)
-        n += len(t)
-    if group:
-        yield group
+def _groups(texts: list[str], most: int, lo: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of a bounded number of characters; a longer text is a run of its own."""
+    end = len(texts) if end is None else end
+    n = 0
+    for i in range(lo, end):
+        if i > lo and n + len(texts[i]) > most:
+            yield lo, i
+            lo, n = i, 0
+        n += len(texts[i])
+    if lo < end:
+        yield lo, end
 
 
-def _mapped(docs: DataFrame, path: str | None, kind: str, schema: str, row) -> DataFrame:
-    """docs' columns and those that `row(vocabulary, pieces)` gives for each text, in Arrow batches."""
+def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make: Callable[[Bpe, list[list[str]]], list[pa.Array]]) -> DataFrame:
+    """docs with the columns that `make(vocabulary, pieces of each text)` gives in place of the text, a run of texts at a time."""
     with open(path or default_path(), encoding="utf-8") as f:
         raw = f.read()
     # A vocabulary file has a fixed size, whatever the input.
     shipped = docs.sparkSession.sparkContext.broadcast(raw)
-    fields = [x.split() for x in schema.split(", ")]
-    types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe(shipped.value)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(kind)).to_pylist()]
-            rows = []
-            for group in _groups(texts):
-                cut = [vocabulary.pieces(t) for t in group]
-                vocabulary.learn([p for ps in cut for p in ps])
-                rows.extend(row(vocabulary, ps) for ps in cut)
-            made = [pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * len(fields), fields, strict=True)]
-            keep = [i for i, n in enumerate(batch.schema.names) if n != kind]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=[*(batch.schema.names[i] for i in keep), *(n for n, _ in fields)])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != kind)
+            keep = [i for i, n in enumerate(batch.schema.names) if n != text_col]
+            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            for begin, end in _groups(texts, LEARN_CHARS):
+                met: set[str] = set()
+                for t in texts[begin:end]:
+                    met.update(vocabulary.pieces(t))
+                vocabulary.learn(met)
+                for lo, hi in _groups(texts, SEND_CHARS, begin, end):
+                    cut = [vocabulary.pieces(t) for t in texts[lo:hi]]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in keep), *make(vocabulary, cut)], names=[*(batch.schema.names[i] for i in keep), *names])
+        vocabulary.forget()  # the worker lives on, for other work
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
     return docs.mapInArrow(run, f"{kept}, {schema}")
 
 
@@ -294,22 +310,22 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     path: a tokenizer file of byte-level BPE with word ends. Extra columns stay; columns named n_tokens or ids must not exist.
     """
 
-    def row(v: Bpe, pieces: list[str]) -> tuple:
-        ids = [int(x) for p in pieces for x in v.seen[p][1].split()]
-        return len(ids), ids
+    def make(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
+        n = [sum(v.seen[p][0] for p in ps) for ps in cut]
+        ids = np.fromstring(" ".join([v.seen[p][1] for ps in cut for p in ps]), dtype=np.int32, sep=" ") if sum(n) else np.zeros(0, np.int32)
+        return [pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))]
 
-    return _mapped(docs, path, text_col, "n_tokens long, ids array<int>", row)
+    return _mapped(docs, path, text_col, "n_tokens long, ids array<int>", make)
 
 
 def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 in place of the text column: what encode and decode give, hashed."""
 
-    def row(v: Bpe, pieces: list[str]) -> tuple:
-        found = [v.seen[p] for p in pieces]
-        sha = lambda k: hashlib.sha256(" ".join([x[k] for x in found]).encode()).hexdigest()
-        return sum(x[0] for x in found), sha(1), sha(2)
+    def make(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
+        sha = lambda ps, k: hashlib.sha256(" ".join([v.seen[p][k] for p in ps]).encode()).hexdigest()
+        return [pa.array([sum(v.seen[p][0] for p in ps) for ps in cut], pa.int64()), *(pa.array([sha(ps, k) for ps in cut], pa.string()) for k in (1, 2))]
 
-    return _mapped(docs, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _mapped(docs, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

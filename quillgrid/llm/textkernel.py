@@ -64,15 +64,17 @@ class Block:
 def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
-    off = np.frombuffer(column.buffers()[1], dtype=np.int64, count=n + column.offset + 1)[column.offset :]
+    wide = pa.types.is_large_string(column.type)
+    off = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32, count=n + column.offset + 1)[column.offset :] if n else np.zeros(1, np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1)
-        yield Block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lo, hi)
+        hi = max(lo + 1, int(np.searchsorted(off, int(off[lo]) + max_bytes, side="right")) - 1)
+        yield Block(data[off[lo] : off[hi]], (off[lo : hi + 1] - off[lo]).astype(np.int64), lo, hi)
         lo = hi
 
 
