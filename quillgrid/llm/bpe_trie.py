@@ -32,9 +32,9 @@ _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Pieces that a worker remembers in each of two generations, words that one trie holds, and pairs of tokens judged.
-REMEMBERED, TRIE_WORDS, PAIRS = 300_000, 60_000, 200_000
+REMEMBERED, TRIE_WORDS, PAIRS = 200_000, 40_000, 100_000
 #: Characters of text whose pieces are learnt together, and whose results are sent together.
-LEARN_CHARS, SEND_CHARS = 10_000_000, 2_000_000
+LEARN_CHARS, SEND_CHARS = 6_000_000, 1_000_000
 
 
 def default_path() -> str:
@@ -322,8 +322,12 @@ def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     """docs with n_tokens, ids_sha256 and decoded_sha256 in place of the text column: what encode and decode give, hashed."""
 
     def make(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
-        sha = lambda ps, k: hashlib.sha256(" ".join([v.seen[p][k] for p in ps]).encode()).hexdigest()
-        return [pa.array([sum(v.seen[p][0] for p in ps) for ps in cut], pa.int64()), *(pa.array([sha(ps, k) for ps in cut], pa.string()) for k in (1, 2))]
+        seen, rows = v.seen, []
+        sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
+        for ps in cut:
+            n, ids, names = zip(*[seen[p] for p in ps], strict=True) if ps else ((), (), ())
+            rows.append((sum(n), sha(ids), sha(names)))
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
 
     return _mapped(docs, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 
