@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..store import Block
 from ..types import BY_CODE, BY_NAME, FID, field
+from . import parts
 
 # Fixed values of the format.
 MAGIC = b"FASTVectorDB0.1\0"
@@ -34,12 +35,15 @@ def _row_dtype(fields: list[tuple[str, str]], wide: bool) -> np.dtype:
 
 
 def write_layer(name: str, schema: T.StructType, rows: pd.DataFrame) -> bytes:
-    """The bytes of a layer. Bytes columns can't be stored but one, which becomes the rows' raw geometry."""
+    """The bytes of a layer. It stores one column of geometries or bytes: bytes become the rows' raw geometry."""
     fields = [(f.name, f.metadata["ft"], f.metadata.get("vmin", 0.0), f.metadata.get("vmax", 0.0)) for f in schema.fields if f.name != FID]
-    raw = [n for n, k, *_ in fields if k == "bytes"]
+    raw = [f for f in schema.fields if f.name != FID and f.metadata["ft"] in ("bytes", "geom")]
     if len(raw) > 1:
-        raise ValueError("a layer stores one column of bytes")
-    fields = [f for f in fields if f[1] != "bytes"]
+        raise ValueError("a layer stores one column of geometries or bytes")
+    shape = raw[0].metadata if raw and raw[0].metadata["ft"] == "geom" else None
+    fields = [f for f in fields if f[1] not in ("bytes", "geom")]
+    if len(name.encode()) > 63:
+        raise ValueError(f"layer name {name!r} is longer than 63 bytes")
     words: dict[str, dict[str, int]] = {"str": {}, "wstr": {}}
     for n, k, *_ in fields:
         if k in words:
@@ -58,13 +62,19 @@ def write_layer(name: str, schema: T.StructType, rows: pd.DataFrame) -> bytes:
             table[n] = (((255 if k == "u8n" else 65535) * (v.to_numpy(float) - lo) / (hi - lo)).astype(np.int64) & (255 if k == "u8n" else 65535)).astype(dtype[n])
         else:
             table[n] = v.to_numpy().astype(dtype[n])
-    geometry = b"".join(struct.pack("<I", len(x)) + bytes(x) for x in rows[raw[0]]) if raw else b""
+    extent = tuple(shape["extent"]) if shape else (-180.0, -90.0, 180.0, 90.0)
+    if shape:
+        geometry = b"".join(parts.pack(x, shape["shape"], shape["coord"], extent, shape["aabbox"]) for x in rows[raw[0].name])
+    else:
+        geometry = b"".join(struct.pack("<I", len(x)) + bytes(x) for x in rows[raw[0].name]) if raw else b""
     strings = struct.pack("<I", len(words["str"])) + b"".join(w.encode() + b"\0" for w in words["str"])
     wides = struct.pack("<I", len(words["wstr"])) + b"".join(w.encode("utf-16-le") + b"\0\0" for w in words["wstr"])
     body = table.tobytes()
     at = len(geometry), len(geometry) + len(body), len(geometry) + len(body) + len(strings)
     total = HEADER.size + FIELD.size * len(fields) + at[2] + len(wides)
-    head = HEADER.pack(name.encode(), len(rows), GEOM_ANY if raw else GEOM_NONE, len(fields), 1, False, wide, -180.0, -90.0, 180.0, 90.0, *at, total)
+    kind = parts.SHAPES[shape["shape"]] if shape else GEOM_ANY if raw else GEOM_NONE
+    coord, boxed = (parts.COORDS[shape["coord"]], shape["aabbox"]) if shape else (1, False)
+    head = HEADER.pack(name.encode(), len(rows), kind, len(fields), coord, boxed, wide, *extent, *at, total)
     described = b"".join(FIELD.pack(n.encode(), BY_NAME[k].code, lo, hi, dtype[n].itemsize, dtype.fields[n][1]) for n, k, lo, hi in fields)
     return head + described + geometry + body + strings + wides
 
@@ -88,7 +98,7 @@ def headers(raw: bytes) -> list[dict]:
         for i in range(fields):
             fname, code, lo, hi, _, _ = FIELD.unpack_from(raw, at + HEADER.size + FIELD.size * i)
             found.append({"name": fname.split(b"\0")[0].decode(), "ft": BY_CODE[code].name, "vmin": lo, "vmax": hi})
-        out.append({"name": name.split(b"\0")[0].decode(), "count": count, "geom": geom, "coord": coord, "wide": wide, "extent": rest[:4], "fields": found, "base": base, "table": base + rest[4], "strings": base + rest[5], "wides": base + rest[6]})
+        out.append({"name": name.split(b"\0")[0].decode(), "count": count, "geom": geom, "coord": coord, "aabbox": aabb, "wide": wide, "extent": rest[:4], "fields": found, "base": base, "table": base + rest[4], "strings": base + rest[5], "wides": base + rest[6]})
         at += rest[7]
     return out
 
@@ -133,13 +143,33 @@ def read_layer(raw: bytes, h: dict) -> pd.DataFrame:
             chunks.append(raw[at + 4 : at + 4 + n])
             at += 4 + n
         out["_bytes"] = chunks
+    elif stored := _geometry(h):
+        at, found, boxes = h["base"], [], []
+        for _ in range(h["count"]):
+            g, box, at = parts.unpack(raw, at, stored["shape"], stored["coord"], tuple(stored["extent"]), stored["aabbox"])
+            found.append(g)
+            boxes.append(box)
+        out["_geom"] = found
+        if stored["aabbox"]:
+            out["_box"] = boxes
     return pd.DataFrame(out)
 
 
+def _geometry(h: dict) -> dict | None:
+    """How a layer stores its geometries, as the metadata of their column; None where it holds none."""
+    shape = {v: k for k, v in parts.SHAPES.items()}.get(h["geom"])
+    coord = {v: k for k, v in parts.COORDS.items()}.get(h["coord"])
+    return parts.geom_field("_geom", shape, coord, tuple(h["extent"]), h["aabbox"]).metadata if shape and coord else None
+
+
 def layer_schema(h: dict) -> T.StructType:
     out = [T.StructField(FID, T.LongType(), False), *[field(f["name"], f["ft"], f["vmin"], f["vmax"] if f["vmax"] > f["vmin"] else f["vmin"] + 1) for f in h["fields"]]]
     if h["geom"] == GEOM_ANY:
         out.append(field("_bytes", "bytes"))
+    elif stored := _geometry(h):
+        out.append(T.StructField("_geom", parts.GEOM, True, stored))
+        if stored["aabbox"]:
+            out.append(T.StructField("_box", parts.BOX))
     return T.StructType(out)
 
 
