@@ -49,7 +49,8 @@ def write_layer(name: str, schema: T.StructType, rows: pd.DataFrame) -> bytes:
         if k in words:
             for v in rows[n]:
                 words[k].setdefault(v, len(words[k]))
-    wide = max(len(words["str"]), len(words["wstr"])) > 65535
+    asked = any(f.metadata.get("wide") for f in schema.fields)
+    wide = asked or max(len(words["str"]), len(words["wstr"])) > 65535
     dtype = _row_dtype([(n, k) for n, k, *_ in fields], wide)
     table = np.zeros(len(rows), dtype=dtype)
     for n, k, lo, hi in fields:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions import textgeom
 from ..store import Block, with_fid
 from ..types import FID, field
+from . import parts
 from .shapefile import read_shapefile
 
 COORDS = ("tx16", "tx24", "tx32", "cf32", "cf64")
@@ -70,8 +71,27 @@ def parse(text: str) -> tuple[str, list[Source]]:
     return lines[0], out
 
 
-def to_layer(df: DataFrame, geom_col: str, *order: str) -> DataFrame:
-    """A layer of df: strings, whole numbers (wrapped to 32 bits) and reals are kept, other columns go, rows without geometry too."""
+def shape_of(df: DataFrame, geom_col: str) -> tuple[str, tuple[float, float, float, float]]:
+    """The shape of a column's geometries and their extent, in one aggregation; ValueError for mixed or no shapes."""
+    g = F.col(geom_col)
+    family = F.when(g["kind"] == "Point", "point").when(g["kind"].isin("LineString", "MultiLineString"), "line").when(g["kind"].isin("Polygon", "MultiPolygon"), "polygon").otherwise("other")
+    points = F.flatten(F.transform(g["parts"], lambda p: p["points"]))
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    found = df.where(g.isNotNull()).agg(
+        F.collect_set(family).alias("families"), F.min(F.array_min(x)).alias("minx"), F.min(F.array_min(y)).alias("miny"),
+        F.max(F.array_max(x)).alias("maxx"), F.max(F.array_max(y)).alias("maxy"),
+    ).first()
+    if len(found["families"]) != 1 or found["families"] == ["other"] or found["minx"] is None:
+        raise ValueError(f"a layer holds points, lines or polygons, not {sorted(found['families'])}")
+    return found["families"][0], (found["minx"], found["miny"], found["maxx"], found["maxy"])
+
+
+def to_layer(df: DataFrame, geom_col: str, *order: str, coords: str = "cf32", box: str | tuple[float, float, float, float] = "no", wide_strings: bool = False) -> DataFrame:
+    """A layer of df: strings, whole numbers (wrapped to 32 bits) and reals are kept, other columns go, rows without geometry too.
+
+    Geometries become plane ones, to be stored in coords; a box given is also the extent, else the extent is that of
+    the rows. An axis on which all rows are equal gets a width of 1, so that quantised coordinates are defined.
+    """
     cols, schema = [], []
     for f in df.schema.fields:
         if f.name == geom_col:
@@ -85,11 +105,17 @@ def to_layer(df: DataFrame, geom_col: str, *order: str) -> DataFrame:
             kind, c = "f64", F.coalesce(F.col(f.name).cast("double"), F.lit(0.0))
         else:
             continue
-        meta = field(f.name, kind).metadata
+        meta = field(f.name, kind).metadata | ({"wide": True} if kind == "str" and wide_strings else {})
         cols.append(c.alias(f.name, metadata=meta))
         schema.append(f.name)
-    raw = textgeom.st_as_wkb(F.col(geom_col)).alias("geom", metadata=field("geom", "bytes").metadata)
-    kept = df.where(F.col(geom_col).isNotNull()).select(*cols, raw)
+    shape, extent = shape_of(df, geom_col)
+    if isinstance(box, tuple):
+        extent = box
+    x0, y0, x1, y1 = extent
+    stored = parts.geom_field("geom", shape, coords, (x0, y0, x1 if x1 > x0 else x0 + 1, y1 if y1 > y0 else y0 + 1), box != "no")
+    plane = F.transform(F.col(geom_col)["parts"], lambda p: p.withField("points", F.transform(p["points"], lambda q: q.withField("z", F.lit(None).cast("double")).withField("m", F.lit(None).cast("double")))))
+    geom = F.col(geom_col).withField("dim", F.lit("XY")).withField("parts", plane).alias("geom", metadata=stored.metadata)
+    kept = df.where(F.col(geom_col).isNotNull()).select(*cols, geom)
     return with_fid(kept, *(order or schema[:1] or ["geom"]))
 
 
@@ -108,7 +134,7 @@ def run(spark: SparkSession, text: str) -> tuple[str, Block, dict[str, str]]:
             else:
                 raw = spark.read.format(s.driver.lower()).options(header=True, inferSchema=True).load(s.path)
                 df, order = raw.withColumn("geom", textgeom.st_from_wkt(F.col("wkt"))).drop("wkt"), ()
-            layers[s.name] = to_layer(df, "geom", *order)
+            layers[s.name] = to_layer(df, "geom", *order, coords=s.coords, box=s.box, wide_strings=s.wide_strings)
         except Exception as x:  # noqa: BLE001  one bad source does not end the batch; the caller sees why
             failed[s.path] = str(x).splitlines()[0] if str(x) else type(x).__name__
     return where, Block.of(spark, layers), failed
