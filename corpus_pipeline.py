@@ -35,9 +35,16 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", "copies").dropDuplicates(["doc_id"])
-    both = docs.join(copies, "doc_id")
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Documents without an id are told apart by source and text; such that are alike come as often as the one of them
+    that the mix takes most.
+    """
+    nameless = F.concat(F.lit("null-"), F.sha2(F.to_json(F.struct("source", "text")).cast("binary"), 256))
+    keyed = docs.withColumn("mix_key", F.coalesce(F.col("doc_id").cast("string"), nameless))
+    copies = mixing.mix(keyed.select(F.col("mix_key").alias("doc_id"), "source", "text")).where(F.col("copies") > 0)
+    copies = copies.groupBy(F.col("doc_id").alias("mix_key")).agg(F.max("copies").alias("copies"))
+    both = keyed.join(copies, "mix_key")
     return both.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 

@@ -65,7 +65,7 @@ def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> Data
 
     Null texts and texts without words have size 0 and are taken as the queue passes them; a null source is a source
     of its own, last in order; repeated doc_ids are rows of their own; an empty table gives an empty result. Ties in
-    the shuffle hash fall to doc_id, equal finish times to source, then shuffle order.
+    the shuffle hash fall to doc_id, then size, equal finish times to source, then shuffle order.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "source", words_in(F.col("text")).cast("long").alias("size"), F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")), 256).alias("key"))
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> Data
     before = W.partitionBy("source").orderBy("slice")
     starts = sums.withColumn("start", F.sum("slice_size").over(before) - F.col("slice_size"))
     starts = starts.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s.slice", "start", "source_size", "ordinal", "target", "budget")
-    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     q = d.withColumn("run", F.sum("size").over(inside)).alias("d").join(starts.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.slice") == F.col("t.slice")))
     q = q.select("doc_id", "d.source", "size", "key", "ordinal", "source_size", "target", "budget", (F.col("start") + F.col("run")).alias("c"))
     finish = lambda c: F.when(F.col("target") > 0, c.cast("double") / F.col("target"))

@@ -52,3 +52,21 @@ def test_copies_follow_the_mix(stages):
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(out[3]).collect() if r["copies"]}
     assert Counter(r["doc_id"] for r in out[4].select("doc_id").collect()) == Counter(want)
     assert out[5].count() == out[4].count() and out[5].where("n_tokens <> size(ids)").count() == 0
+
+
+def test_nulls_and_repeated_rows_pass_the_stages(spark):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, words(i, 40), "en", "ab"[i % 2], 0) for i in range(30)]
+    rows += [(None, words(100, 40), "en", "a", 0), (None, words(101, 40), None, None, None), (None, None, None, None, None), (40, None, "en", "a", None), (41, "", "en", "b", 0), (42, words(42, 30000), "en", "a", 0)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES[1:4]:
+        got = common.stored(stage(spark, docs, ""), "odd")
+        assert got.columns == docs.columns, name
+        if name != P.STAGES[3][0]:
+            assert got.where("doc_id is null").count() == 3 and got.where("doc_id = 0").count() == 1
+        docs = got
+    nameless = [r["text"] for r in docs.where("doc_id is null").collect()]
+    assert words(101, 40) in nameless and max(Counter(nameless).values()) <= 2  # alone in its source, so it is read twice
+    tokens = P.STAGES[4][1](spark, docs, "")
+    assert tokens.count() == docs.count()
+    assert P.mix(spark, docs.limit(0), "").count() == 0
