@@ -18,11 +18,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that with the smallest id, once."""
-    named = dartminhash.classes(docs.select("doc_id", "text"))
-    stay = named.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    nameless = docs.where(F.col("doc_id").isNull())
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless).select(docs.columns)
+    """One document of each class of near duplicates stays, once: that with the smallest id, a null id being the last.
+
+    Classes go by text: documents without an id take part, and two texts of one id are two documents. Where ids are
+    equal, the hash of the words and then that of the row decide. Rows with neither id nor text have nothing to compare
+    and stay.
+    """
+    cells = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
+    rows = docs.withColumn("r1", F.xxhash64(F.lit(1), *cells)).withColumn("r2", F.xxhash64(F.lit(2), *cells))
+    blank = F.col("doc_id").isNull() & F.col("text").isNull()
+    named = dartminhash.grouped(rows.where(~blank).select("doc_id", "text", "r1", "r2"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "c1", "c2", "r1", "r2")).alias("first")
+    stay = named.groupBy("group").agg(first).select("first.r1", "first.r2")
+    kept = rows.where(~blank).join(stay, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    return kept.select(docs.columns).unionByName(docs.where(blank))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +46,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
 
-    Documents without an id are told apart by source and text; such that are alike come as often as the one of them
-    that the mix takes most.
+    Documents are told apart by id, source and text; such that are alike come as often as the one of them that the mix
+    takes most.
     """
     nameless = F.concat(F.lit("null-"), F.sha2(F.to_json(F.struct("source", "text")).cast("binary"), 256))
-    keyed = docs.withColumn("mix_key", F.coalesce(F.col("doc_id").cast("string"), nameless))
-    copies = mixing.mix(keyed.select(F.col("mix_key").alias("doc_id"), "source", "text")).where(F.col("copies") > 0)
-    copies = copies.groupBy(F.col("doc_id").alias("mix_key")).agg(F.max("copies").alias("copies"))
-    both = keyed.join(copies, "mix_key")
+    told = F.xxhash64(F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+    keyed = docs.withColumn("mix_key", F.coalesce(F.col("doc_id").cast("string"), nameless)).withColumn("mix_text", told)
+    copies = mixing.mix(keyed.select(F.col("mix_key").alias("doc_id"), "source", "text", "mix_text"), also=("mix_text",)).where(F.col("copies") > 0)
+    copies = copies.groupBy(F.col("doc_id").alias("mix_key"), "mix_text").agg(F.max("copies").alias("copies"))
+    both = keyed.join(copies, ["mix_key", "mix_text"])
     return both.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 

@@ -105,6 +105,13 @@ def shingles(b: tk.Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return keys[at], of[at], np.diff(np.append(at, len(keys))), content
 
 
+def _second(keys: np.ndarray, of: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """The other half of each row's content hash, by its shingles."""
+    out = np.zeros(n, dtype=np.uint64)
+    np.add.at(out, of, tk.mix(keys + _U(99)) * times.astype(_U))
+    return out
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(n, bands) keys, each a hash of `rows` coordinates."""
     h = np.broadcast_to(tk.stream(57, bands), (len(sig), bands)).copy()
@@ -116,28 +123,32 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """doc_id, text -> doc_id, c1, c2 (128 bits of the words' hash) and keys array<long>; no keys for texts without words.
 
-    counted: elements weigh as often as they occur, for weighted Jaccard; else 1, for that of sets.
+    Further columns stay, after doc_id. counted: elements weigh as often as they occur, for weighted Jaccard; else 1,
+    for that of sets.
     """
     k = bands * rows
+    kept = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    names = ["doc_id", *(f.name for f in kept), "c1", "c2", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.blocks(batch.column(1)):
                 keys, of, times, content = shingles(b, shingle)
                 sig = signatures(keys, times.astype(np.float64) if counted else np.ones(len(keys)), of, b.n, k)
-                second = np.zeros(b.n, dtype=np.uint64)
-                np.add.at(second, of, tk.mix(keys + _U(99)) * times.astype(_U))
+                second = _second(keys, of, times, b.n)
                 full = np.bincount(of, minlength=b.n) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(full * bands)).astype(np.int32)), pa.array(band_keys(sig, bands, rows)[full].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.n), pa.array(content.view(np.int64)), pa.array(second.view(np.int64)), lists], names=["doc_id", "c1", "c2", "keys"])
+                same = [batch.column(i).slice(b.lo, b.n) for i in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(content.view(np.int64)), pa.array(second.view(np.int64)), lists], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, keys array<long>")
+    also = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return docs.select("doc_id", "text", *[f"`{f.name}`" for f in kept]).mapInArrow(run, f"doc_id long{also}, c1 long, c2 long, keys array<long>")
 
 
-def _filter(ids: DataFrame) -> tuple[bytes, int]:
-    """A Bloom filter of ids and its size in bits: at most FILTER_BITS, whatever their number, so it may be broadcast."""
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (ids.count() * 16).bit_length()))
-    cells = ids.select(F.explode(F.array(*_cells(bits))).alias("cell"))
+def _filter(rows: DataFrame) -> tuple[bytes, int]:
+    """A Bloom filter of rows (doc_id, mark) and its size in bits: at most FILTER_BITS, whatever their number, so it may be broadcast."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (rows.count() * 16).bit_length()))
+    cells = rows.select(F.explode(F.array(*_cells(bits))).alias("cell"))
     # bitmap_bit_position counts from 0 within a bucket of 2^15 bits, buckets from 1
     parts = cells.groupBy(F.bitmap_bucket_number("cell").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("part"))
     out = bytearray((bits >> 3) + 4096)
@@ -147,13 +158,14 @@ def _filter(ids: DataFrame) -> tuple[bytes, int]:
 
 
 def _cells(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) + 1 for i in range(2)]
+    return [F.pmod(F.xxhash64("doc_id", "mark", F.lit(i)), F.lit(bits)) + 1 for i in range(2)]
 
 
 def _sets(docs: DataFrame, involved: DataFrame, shingle: int, counted: bool) -> DataFrame:
-    """id and its set of shingles as sorted keys, for rows whose doc_id is involved; counted: the n-th occurrence is an element of its own.
+    """id and its set of shingles as sorted keys, for the contents involved; counted: the n-th occurrence is an element of its own.
 
-    Texts are not shuffled: rows that a filter of the ids rules out are dropped where they are read.
+    involved: id, c1, c2 and one row, (doc_id, mark), of each content. Texts are not shuffled: rows that a filter of
+    these rules out are dropped where they are read.
     """
     raw_filter, bits = _filter(involved)
     shipped = docs.sparkSession.sparkContext.broadcast(raw_filter)
@@ -162,22 +174,24 @@ def _sets(docs: DataFrame, involved: DataFrame, shingle: int, counted: bool) ->
         held = np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             maybe = np.ones(batch.num_rows, dtype=bool)
-            for i in (2, 3):
+            for i in (1, 2):
                 cell = batch.column(i).to_numpy() - 1
                 maybe &= (held[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
             batch = batch.filter(pa.array(maybe))  # noqa: PLW2901
-            for b in tk.blocks(batch.column(1)):
-                keys, of, times, _ = shingles(b, shingle)
+            for b in tk.blocks(batch.column(0)):
+                keys, of, times, content = shingles(b, shingle)
+                second = _second(keys, of, times, b.n)
                 if counted:
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     keys, of = tk.mix(np.repeat(keys, times) + nth.astype(_U)), np.repeat(of, times)
                     keys = keys[np.lexsort((keys, of))]
                 first = np.searchsorted(of, np.arange(b.n + 1))
                 raw = [keys[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.n), pa.array(raw, pa.binary())], names=["id", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(second.view(np.int64)), pa.array(raw, pa.binary())], names=["c1", "c2", "keys"])
 
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", *[c.alias(f"cell{i}") for i, c in enumerate(_cells(bits))])
-    return known.mapInArrow(run, "id long, keys binary")
+    read = docs.select("text", *[c.alias(f"cell{i}") for i, c in enumerate(_cells(bits))]).mapInArrow(run, "c1 long, c2 long, keys binary")
+    # Copies of one content combine before they shuffle.
+    return read.dropDuplicates(["c1", "c2"]).join(involved.select("c1", "c2", "id"), ["c1", "c2"]).select("id", "keys")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -250,25 +264,34 @@ def _across(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """doc_id, text -> doc_id, class_id of every row: classes of near duplicates, named by their smallest doc_id.
+def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """doc_id, text -> doc_id, c1, c2 (the content's hash), group and class_id of every row: classes of near duplicates.
 
-    Texts of the same words are one class at once, texts without words too; only the smallest id of each goes on. The
-    members of a bucket are compared with its smallest and its largest id, which is all pairs up to three members;
+    group tells classes apart; class_id is the class's smallest doc_id, null where no member has one. Further columns
+    stay, but for one named mark.
+
+    Texts of the same words are one class at once, texts without words too; each content goes on as one node, whatever
+    the ids of its rows. The members of a bucket are compared with its smallest and its largest, which is all pairs up to three members;
     where a larger bucket then still holds several classes, `_across` finds every link between two of them. Links
-    are pairs of exact similarity `least` or more, and classes are what links connect. Null texts are empty ones; rows
-    that repeat an id with another text join that id's class; a row with a null id has the class of its words.
+    are pairs of exact similarity `least` or more, and classes are what links connect. Null texts are empty ones; ids
+    play no part: rows of one id with two texts, and rows with a null id, have the class of their words.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
     sig = stored(sketches(docs, shingle, bands, rows, counted), "dart-sketches")
-    unique = stored(sig.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "dart-unique")
-    member = unique.where(F.col("id").isNotNull()).select(F.explode("keys").alias("key"), "id")
+    # The first row of a content, by (doc_id, mark) with a null id last, stands for it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("row")
+    unique = sig.groupBy("c1", "c2").agg(first, F.first("keys").alias("keys"))
+    # Written at once, so that a content keeps its number.
+    unique = stored(unique.select("c1", "c2", "row.doc_id", "row.mark", "keys", F.monotonically_increasing_id().alias("id")), "dart-unique")
+    member = unique.select(F.explode("keys").alias("key"), "id")
     shared = member.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where(F.col("lo") < F.col("hi"))
     buckets = stored(member.join(stored(shared, "dart-shared"), "key"), "dart-buckets")
     pair = lambda d, x, y: d.where(F.col(x) > F.col(y)).select(F.col(x).alias("a"), F.col(y).alias("b"))
     pairs = stored(pair(buckets, "id", "lo").unionByName(pair(buckets, "hi", "id")).distinct(), "dart-pairs")
-    involved = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "dart-involved")
-    sets = stored(_sets(docs, involved, shingle, counted), "dart-sets").dropDuplicates(["id", "keys"])
+    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    involved = stored(unique.select("id", "c1", "c2", "doc_id", "mark").join(met, "id"), "dart-involved")
+    sets = stored(_sets(docs, involved, shingle, counted), "dart-sets")
     links = stored(_links(pairs, sets, least), "dart-links")
     label = components(links)
 
@@ -281,11 +304,21 @@ def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     more = more.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     above = components(more.distinct())
     label = label.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = above.join(label, "node", "left_anti")  # classes of one document that were linked just now
+    alone = above.join(label, "node", "left_anti")  # classes of one content that were linked just now
     label = stored(label.unionByName(alone), "dart-labels")
 
-    named = unique.select("c1", "c2", "id").join(label, F.col("id") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "id").alias("class_id"))
-    return sig.select("doc_id", "c1", "c2").join(stored(named, "dart-classes"), ["c1", "c2"]).select("doc_id", "class_id")
+    # Contents that nothing links are classes of their own; the others take the smallest doc_id that their label has.
+    one = unique.select("c1", "c2", "doc_id", "id")
+    named = stored(one.join(label, F.col("id") == F.col("node"), "left").select("c1", "c2", "doc_id", "label", F.coalesce("label", "id").alias("group")), "dart-named")
+    least_id = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
+    linked = named.where("label is not null").join(least_id, "label").select("c1", "c2", "group", F.col("least_id").alias("class_id"))
+    every = stored(linked.unionByName(named.where("label is null").select("c1", "c2", "group", F.col("doc_id").alias("class_id"))), "dart-classes")
+    return sig.drop("keys", "mark").join(every, ["c1", "c2"])
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """doc_id, text -> doc_id, class_id of every row, as `grouped` finds them."""
+    return grouped(docs.select("doc_id", "text"), least, shingle, bands, rows, counted).select("doc_id", "class_id")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,15 +60,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves: int
     return s.select("source", "source_size", "ordinal", "weight", target.alias("target"), (F.col("all2").cast("double") / 2.0).alias("budget"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, text -> doc_id, size, source_size, target, copies (0..2) and taken of every row.
 
     Null texts and texts without words have size 0 and are taken as the queue passes them; a null source is a source
     of its own, last in order; repeated doc_ids are rows of their own; an empty table gives an empty result. Ties in
-    the shuffle hash fall to doc_id, then size, equal finish times to source, then shuffle order.
+    the shuffle hash fall to doc_id, then size, equal finish times to source, then shuffle order. Columns named in
+    `also` stay, and what is still tied falls to them.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", "source", words_in(F.col("text")).cast("long").alias("size"), F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")), 256).alias("key"))
+    d = docs.select("doc_id", "source", *also, words_in(F.col("text")).cast("long").alias("size"), F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")), 256).alias("key"))
     d = stored(d, "mix-sizes")  # the texts are read once
     rows = d.count()
     slices = max(1, -(-rows // slice_rows))
@@ -81,9 +82,9 @@ def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> Data
     before = W.partitionBy("source").orderBy("slice")
     starts = sums.withColumn("start", F.sum("slice_size").over(before) - F.col("slice_size"))
     starts = starts.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s.slice", "start", "source_size", "ordinal", "target", "budget")
-    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *also).rowsBetween(W.unboundedPreceding, W.currentRow)
     q = d.withColumn("run", F.sum("size").over(inside)).alias("d").join(starts.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.slice") == F.col("t.slice")))
-    q = q.select("doc_id", "d.source", "size", "key", "ordinal", "source_size", "target", "budget", (F.col("start") + F.col("run")).alias("c"))
+    q = q.select("doc_id", "d.source", *also, "size", "key", "ordinal", "source_size", "target", "budget", (F.col("start") + F.col("run")).alias("c"))
     finish = lambda c: F.when(F.col("target") > 0, c.cast("double") / F.col("target"))
     q = q.withColumn("f0", finish(F.col("c"))).withColumn("f1", finish(F.col("c") + F.col("source_size")))
     q = stored(q, "mix-queue")
@@ -109,7 +110,7 @@ def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> Data
         edge_key = F.struct(*[F.lit(last[c]).cast(kinds[c]) for c in ("f", "ordinal", "key", "doc_id", "nth")])
         in_mix = lambda f, n: F.col(f).isNotNull() & (F.struct(F.col(f), F.col("ordinal"), F.col("key"), F.col("doc_id"), F.lit(n)) < edge_key)
     taken = (in_mix("f0", 0).cast("int") + in_mix("f1", 1).cast("int")).alias("copies")
-    return q.select("doc_id", "source", "size", "source_size", "target", taken).withColumn("taken", F.col("size") * F.col("copies"))
+    return q.select("doc_id", "source", *also, "size", "source_size", "target", taken).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

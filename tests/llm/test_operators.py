@@ -173,6 +173,15 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert dartminhash.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_go_by_text_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (9, a + " end"), (9, b), (None, b + " end"), (None, c), (None, c + " end")]
+    got = dartminhash.grouped(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n long")).collect()
+    by = {r["n"]: r for r in got}
+    assert [by[n]["class_id"] for n in range(6)] == [3, 3, 9, 9, None, None]
+    assert by[0]["group"] == by[1]["group"] and by[2]["group"] == by[3]["group"] and by[4]["group"] == by[5]["group"] and len({r["group"] for r in got}) == 3
+
+
 def test_counted_shingles_are_weighted(spark):
     a, b = " ".join(["p q r s t"] * 10), " ".join(["p q r s t"] * 20)
     df = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")

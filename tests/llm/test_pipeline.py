@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrid.llm import common, dartminhash, mixing, quality_gbt
 
@@ -70,3 +71,31 @@ def test_nulls_and_repeated_rows_pass_the_stages(spark):
     tokens = P.STAGES[4][1](spark, docs, "")
     assert tokens.count() == docs.count()
     assert P.mix(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_dedup_goes_by_text_not_by_id(spark):
+    words = lambda i: [f"w{i}x{j}" for j in range(60)]
+    near = lambda i, k: " ".join([*words(i)[:-1], f"other{k}"])
+    same = lambda i: " ".join(words(i))
+    rows = [
+        (1, same(1)), (None, same(1)), (None, near(1, 0)),  # copies without an id of a document with one
+        (None, same(2)), (None, same(2)), (None, near(2, 0)),  # copies without an id of each other
+        (5, same(3)), (5, same(4)),  # two texts of one id
+        (6, same(5)), (7, near(5, 0)), (7, same(6)),  # one of an id's two texts is near another document
+        (8, same(7)), (8, same(7)), (None, None), (None, same(8)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[n % 2], n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [sorted(map(repr, P.near_dedup(spark, d, "").collect())) for d in (docs, docs.repartition(3).orderBy(F.desc("n_chars")))]
+    assert got[0] == got[1]
+    left = Counter((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, "").collect())
+    of_two = [x for x in left if x in {(None, same(2)), (None, near(2, 0))}]
+    assert len(of_two) == 1
+    assert left - Counter(of_two) == Counter([(1, same(1)), (5, same(3)), (5, same(4)), (6, same(5)), (7, same(6)), (8, same(7)), (None, None), (None, same(8))])
+
+
+def test_mix_tells_texts_of_one_id_apart(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "en", "a", 0) for i in range(4)]  # few: read twice
+    rows += [(i, " ".join(f"v{i}x{j}" for j in range(20)), "en", "b", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sum(r["copies"] for r in mixing.mix(docs).collect())
+    assert P.mix(spark, docs, "").count() == want
