@@ -20,7 +20,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, text_of
@@ -35,6 +37,8 @@ _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 REMEMBERED, TRIE_WORDS, PAIRS = 200_000, 40_000, 100_000
 #: Characters of text whose pieces are learnt together, and whose results are sent together.
 LEARN_CHARS, SEND_CHARS = 6_000_000, 1_000_000
+#: Tokens that are decoded together.
+DECODE_TOKENS = 1_000_000
 
 
 def default_path() -> str:
@@ -75,11 +79,12 @@ class Bpe:
                 self.merged[x, y] = z
                 self.rank[x, y] = r
                 self.split.setdefault(z, (x, y))
+        self.name_of = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.string())
         self.chars = byte_chars()
         self.whole: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.seen: dict[str, tuple[int, str, str]] = {}
-        self.before: dict[str, tuple[int, str, str]] = {}
+        self.seen: dict[str, tuple[int, str]] = {}
+        self.before: dict[str, tuple[int, str]] = {}
 
     def _is_whole(self, token: int, end: bool) -> bool:
         """Does a token's own text encode to it?"""
@@ -215,7 +220,7 @@ class Bpe:
         return _PIECES.findall(text) if _NOT_SPACE.search(text) else text.split()
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Make sure that `seen` has these pieces: number of tokens, ids and names, each joined by spaces."""
+        """Make sure that `seen` has these pieces: number of tokens, and ids joined by spaces."""
         if len(self.seen) > REMEMBERED:
             self.seen, self.before = {}, self.seen
         new = [p for p in set(pieces) if p not in self.seen]
@@ -230,7 +235,7 @@ class Bpe:
             codes = self.encode_words({w for ws in cut.values() for w in ws if isinstance(w, str)})
             for p, ws in cut.items():
                 ids = [t for w in ws for t in ([w] if isinstance(w, int) else codes[w])]
-                self.seen[p] = len(ids), " ".join(map(str, ids)), " ".join([self.names[t] for t in ids])
+                self.seen[p] = len(ids), " ".join(map(str, ids))
         if collect:
             gc.enable()
 
@@ -251,6 +256,19 @@ class Bpe:
         """Without a decoder of its own, this kind of tokenizer joins its tokens' names by spaces."""
         return " ".join([self.names[i] for i in ids])
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.StringArray:
+        """`decode` of each list of ids, null of a null list; an id that the vocabulary lacks is an error."""
+        ids = lists.flatten()
+        if len(ids) and (ids.null_count or pc.min(ids).as_py() < 0 or pc.max(ids).as_py() >= len(self.name_of)):
+            raise ValueError("ids outside the vocabulary")
+        names = self.name_of.take(ids)
+        if names.null_count:
+            raise ValueError("ids outside the vocabulary")
+        n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+        out = pc.binary_join(pa.ListArray.from_arrays(ends, names), " ")
+        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.string())) if lists.null_count else out
+
 
 _loaded: dict[str, Bpe] = {}
 
@@ -277,12 +295,16 @@ def _groups(texts: list[str], most: int, lo: int = 0, end: int | None = None) ->
         yield lo, end
 
 
-def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make: Callable[[Bpe, list[list[str]]], list[pa.Array]]) -> DataFrame:
-    """docs with the columns that `make(vocabulary, pieces of each text)` gives in place of the text, a run of texts at a time."""
+def _shipped(docs: DataFrame, path: str | None) -> Broadcast:
     with open(path or default_path(), encoding="utf-8") as f:
         raw = f.read()
     # A vocabulary file has a fixed size, whatever the input.
-    shipped = docs.sparkSession.sparkContext.broadcast(raw)
+    return docs.sparkSession.sparkContext.broadcast(raw)
+
+
+def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make: Callable[[Bpe, list[list[str]]], list[pa.Array]]) -> DataFrame:
+    """docs with the columns that `make(vocabulary, pieces of each text)` gives in place of the text, a run of texts at a time."""
+    shipped = _shipped(docs, path)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +326,21 @@ def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make:
     return docs.mapInArrow(run, f"{kept}, {schema}")
 
 
+def _ids(v: Bpe, cut: list[list[str]]) -> pa.ListArray:
+    """The ids of texts cut into pieces that are learnt."""
+    n = [sum(v.seen[p][0] for p in ps) for ps in cut]
+    ids = np.fromstring(" ".join([v.seen[p][1] for ps in cut for p in ps]), dtype=np.int32, sep=" ") if sum(n) else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))
+
+
+def _digests(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
+    """Number of ids, the digest of the ids and that of what these ids decode to."""
+    ids = _ids(v, cut)
+    written = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+    sha = lambda column: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in column.to_pylist()], pa.string())
+    return [ids.value_lengths().cast(pa.int64()), sha(written), sha(v.decode_lists(ids))]
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with n_tokens long and ids array<int> in place of the text column; a null text is the empty one.
 
@@ -311,25 +348,35 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     """
 
     def make(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
-        n = [sum(v.seen[p][0] for p in ps) for ps in cut]
-        ids = np.fromstring(" ".join([v.seen[p][1] for ps in cut for p in ps]), dtype=np.int32, sep=" ") if sum(n) else np.zeros(0, np.int32)
-        return [pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))]
+        ids = _ids(v, cut)
+        return [ids.value_lengths().cast(pa.int64()), ids]
 
     return _mapped(docs, path, text_col, "n_tokens long, ids array<int>", make)
 
 
-def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 in place of the text column: what encode and decode give, hashed."""
+def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """docs with decoded string, what their ids decode to; null ids give null. A column named decoded must not exist."""
+    shipped = _shipped(docs, path)
 
-    def make(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
-        seen, rows = v.seen, []
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
-        for ps in cut:
-            n, ids, names = zip(*[seen[p] for p in ps], strict=True) if ps else ((), (), ())
-            rows.append((sum(n), sha(ids), sha(names)))
-        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-
-    return _mapped(docs, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = bpe(shipped.value)
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + DECODE_TOKENS, side="right")))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, vocabulary.decode_lists(lists.slice(lo, hi - lo))], names=[*batch.schema.names, "decoded"])
+                lo = hi
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{kept}, decoded string")
+
+
+def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 in place of the text column: what encode gives and what those ids decode to, hashed."""
+    return _mapped(docs, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,21 @@ def test_trie_encodes_as_the_library_does(spark, docs):
     assert bpe_trie.encode(docs.limit(0)).count() == 0
 
 
+def test_decoding_goes_by_the_emitted_ids(spark):
+    own = bpe_trie.Bpe(open(bpe_trie.default_path(), encoding="utf-8").read())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    lists = [own.encode("an unbelievable text"), [], None, [5, 300, 7]]
+    got = bpe_trie.decode(spark.createDataFrame(list(enumerate(lists)), "n long, ids array<int>")).orderBy("n").collect()
+    assert [r["decoded"] for r in got] == [None if x is None else own.decode(x) for x in lists]
+    own.learn(["hello", "world"])
+    own.seen["world"] = (1, "300", *own.seen["world"][2:])  # a fault in the ids
+    n, ids, decoded = (c.to_pylist() for c in bpe_trie._digests(own, [["hello", "world"], []]))
+    want = [*own.encode("hello"), 300]
+    assert n == [len(want), 0] and ids == [sha(" ".join(map(str, want))), sha("")] and decoded == [sha(own.decode(want)), sha("")]
+    with pytest.raises(ValueError, match="vocabulary"):
+        own.decode_lists(pa.array([[1 << 30]], pa.list_(pa.int32())))
+
+
 def test_trie_equals_plain_merging():
     own = bpe_trie.Bpe(open(bpe_trie.default_path(), encoding="utf-8").read())
     rnd = random.Random(8)

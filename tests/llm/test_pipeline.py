@@ -1,12 +1,13 @@
 """Each stage on what its predecessor kept, against plain Python."""
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline as P
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.llm import common, dartminhash, mixing, quality_gbt
+from quillgrid.llm import bpe_trie, common, dartminhash, mixing, quality_gbt
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +100,10 @@ def test_mix_tells_texts_of_one_id_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     want = sum(r["copies"] for r in mixing.mix(docs).collect())
     assert P.mix(spark, docs, "").count() == want
+
+
+def test_tokens_decode(spark, stages):
+    _, out = stages
+    own = bpe_trie.Bpe(open(bpe_trie.default_path(), encoding="utf-8").read())
+    for r in out[5].limit(200).collect():
+        assert r["decoded_sha256"] == hashlib.sha256(own.decode(r["ids"]).encode()).hexdigest()
