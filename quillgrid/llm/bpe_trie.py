@@ -2,18 +2,19 @@
 
 The encodings of a word's prefixes form chains: that of a prefix is that of a shorter one and one last token, and
 which token is last follows from the pairs of neighbours that merging leaves apart. So distinct words go into a trie,
-and a depth-first walk computes each node's last token once, for all words that share the prefix. Whole words end in
-symbols of their own (those with the word-end suffix), looked up where a word ends.
+and a depth-first walk computes each node's last token once, for all words that share the prefix. The tokens that end
+at a node come from an automaton over the vocabulary, one step a node. Whole words end in symbols of their own (those
+with the word-end suffix), looked up where a word ends.
 
-Texts are cut at white space first: neither normalisation nor the pattern of pre-tokens crosses it. Pieces seen lately
-are remembered, so a worker's trie only gets what is new to it.
+Texts are cut at white space first: neither normalisation nor the pattern of pre-tokens crosses it. The distinct pieces
+of a run of texts are cut into words in one pass; words seen lately are remembered, and tokens are gathered by numpy.
 """
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -25,18 +26,20 @@ import regex
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textkernel as tk
 from .common import table, text_of
 
 SUFFIX = "</w>"
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(rf"[^{_SPACE}]+")
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+_BREAK = regex.compile(rf"[{_SPACE}]")
+_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+|\n")
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Pieces that a worker remembers in each of two generations, words that one trie holds, and pairs of tokens judged.
-REMEMBERED, TRIE_WORDS, PAIRS = 200_000, 40_000, 100_000
-#: Characters of text whose pieces are learnt together, and whose results are sent together.
-LEARN_CHARS, SEND_CHARS = 6_000_000, 1_000_000
+#: Words that a worker remembers, words that one trie holds, and pairs of tokens judged.
+REMEMBERED, TRIE_WORDS, PAIRS = 400_000, 30_000, 250_000
+#: Characters of text whose pieces are learnt together, of results that are sent together, and of text cut at once.
+LEARN_CHARS, SEND_CHARS, CUT_CHARS = 8_000_000, 1_000_000, 1_000_000
 #: Tokens that are decoded together.
 DECODE_TOKENS = 1_000_000
 
@@ -54,6 +57,35 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Numbers(dict):
+    """Numbers for keys, in order of first appearance."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+class Ragged:
+    """Lists of token ids side by side: list i is `flat[first[i]:first[i] + n[i]]`."""
+
+    def __init__(self, n: np.ndarray, flat: np.ndarray):
+        self.n, self.flat = n.astype(np.int64), flat
+        self.first = np.cumsum(self.n) - self.n
+
+    def take(self, at: np.ndarray) -> Ragged:
+        n = self.n[at]
+        ends = np.cumsum(n)
+        where = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        where += np.repeat(self.first[at] - ends + n, n)
+        return Ragged(n, self.flat[where])
+
+    def grouped(self, sizes: np.ndarray) -> Ragged:
+        """Runs of so many lists, each as one list."""
+        upto = np.append(0, np.cumsum(self.n))
+        ends = np.append(0, np.cumsum(sizes))
+        return Ragged(np.diff(upto[ends]), self.flat)
+
+
 class Bpe:
     """A vocabulary: encodes words by a trie of them."""
 
@@ -67,31 +99,75 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(SUFFIX)}
         self.final = {t[: -len(SUFFIX)]: i for t, i in vocab.items() if t.endswith(SUFFIX)}
-        #: What tokens begin with.
-        self.starts = {t[:n] for names in (self.inner, self.final) for t in names for n in range(1, len(t) + 1)}
         self.merged: dict[tuple[int, int], int] = {}
-        self.split: dict[int, tuple[int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
+        #: token -> the two that make it, and the rank of that merge.
+        self.split: dict[int, tuple[int, int]] = {}
+        self.born: dict[int, int] = {}
         for r, pair in enumerate(model["merges"]):
             a, b = pair if not isinstance(pair, str) else pair.split(" ")
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            if (x, y) not in self.merged:
-                self.merged[x, y] = z
-                self.rank[x, y] = r
-                self.split.setdefault(z, (x, y))
+            if z in self.split or max(self.born.get(x, -1), self.born.get(y, -1)) >= r:
+                raise ValueError(f"merge {r}: the trie needs one merge a token, and parts that are merged before")
+            self.merged[x, y] = z
+            self.rank[x, y] = self.born[z] = r
+            self.split[z] = x, y
         self.name_of = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.string())
-        self.chars = byte_chars()
+        self.chars = {b: c for b, c in enumerate(byte_chars())}
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.seen: dict[str, tuple[int, str]] = {}
-        self.before: dict[str, tuple[int, str]] = {}
+        self.edges: dict[int, tuple[list[tuple[int, float]], list[tuple[int, float]]]] = {}
+        self.pairs: dict[int, bool] = {}
+        self._automaton()
+        self.forget()
+
+    def _automaton(self) -> None:
+        """States are the prefixes of tokens; each knows the tokens, inner or final, that are suffixes of it, longest first."""
+        self.goto: list[dict[str, int]] = [{}]
+        inner: list[int] = [-1]
+        final: list[int] = [-1]
+        for names, ends in ((self.inner, inner), (self.final, final)):
+            for name, token in names.items():
+                at = 0
+                for c in name:
+                    nxt = self.goto[at].get(c)
+                    if nxt is None:
+                        nxt = self.goto[at][c] = len(self.goto)
+                        self.goto.append({})
+                        inner.append(-1)
+                        final.append(-1)
+                    at = nxt
+                ends[at] = token
+        size = len(self.goto)
+        self.fail = [0] * size
+        self.ends_inner: list[tuple[tuple[int, int], ...]] = [()] * size
+        self.ends_final: list[tuple[tuple[int, int], ...]] = [()] * size
+        level, depth = list(self.goto[0].values()), 1
+        while level:
+            below = []
+            for at in level:
+                back = self.fail[at]
+                for ends, known in ((inner, self.ends_inner), (final, self.ends_final)):
+                    known[at] = ((ends[at], depth), *known[back]) if ends[at] >= 0 else known[back]
+                for c, nxt in self.goto[at].items():
+                    self.fail[nxt] = self.step(back, c)
+                    below.append(nxt)
+            level, depth = below, depth + 1
+
+    def step(self, state: int, c: str) -> int:
+        """The longest prefix of a token that the state's text and a character end in."""
+        goto, fail = self.goto, self.fail
+        while True:
+            nxt = goto[state].get(c)
+            if nxt is not None:
+                return nxt
+            if not state:
+                return 0
+            state = fail[state]
 
     def _is_whole(self, token: int, end: bool) -> bool:
         """Does a token's own text encode to it?"""
-        got = self.whole.get(token)
-        if got is None:
-            name = self.names[token]
-            got = self.whole[token] = self.merge(name[: -len(SUFFIX)] if end else name, end) == [token]
+        name = self.names[token]
+        got = self.whole[token] = self.merge(name[: -len(SUFFIX)] if end else name, end) == [token]
         return got
 
     def merge(self, word: str, end: bool = True) -> list[int]:
@@ -104,89 +180,93 @@ class Bpe:
             ids[i : i + 2] = [self.merged[ids[i], ids[i + 1]]]
         return ids
 
-    def _stay(self, a: int, b: int) -> bool:
-        """Do two neighbouring tokens stay apart: does no merge across the seam come before one within either?"""
-        got = self.pairs.get((a, b))
-        if got is not None:
-            return got
-        x, y, limit = a, b, 1 << 62
-        while True:
-            z = self.merged.get((x, y))
-            if z is not None and z < limit:
-                got = False
-                break
-            if x > y:
-                limit = x
-                if x not in self.split:
-                    limit = y + 1
-                    if y not in self.split:
-                        got = True
-                        break
-                    y = self.split[y][0]
-                else:
-                    x = self.split[x][1]
-            else:
-                limit = y + 1
-                if y not in self.split:
-                    limit = x
-                    if x not in self.split:
-                        got = True
+    def _edge(self, token: int) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
+        """What stands at a token's right and at its left end while it is built: tokens, each with the rank that absorbs it."""
+        got = self.edges.get(token)
+        if got is None:
+            sides: list[list[tuple[int, float]]] = []
+            for side in (1, 0):
+                at, until, out = token, float("inf"), []
+                while True:
+                    out.append((at, until))
+                    if at not in self.split:
                         break
-                    x = self.split[x][1]
-                else:
-                    y = self.split[y][0]
-        self.pairs[a, b] = got
+                    until = self.born[at]
+                    at = self.split[at][side]
+                sides.append(out)
+            got = self.edges[token] = sides[0], sides[1]
         return got
 
+    def _stay(self, a: int, b: int) -> bool:
+        """Do two neighbouring tokens stay apart?
+
+        They don't if some token at a's right end merges with one at b's left end before either is absorbed by its own
+        token. Merges go by rank, so a token lasts from its rank to that of the merge that absorbs it; of equal merges
+        the left one comes first.
+        """
+        rank = self.rank
+        for x, x_until in self._edge(a)[0]:
+            for y, y_until in self._edge(b)[1]:
+                r = rank.get((x, y))
+                if r is not None and r < x_until and r <= y_until:
+                    return False
+        return True
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Byte-level words -> token ids, by one trie of all of them."""
         root: dict = {}
+        depth = 1
         for w in words:
             node = root
+            depth = max(depth, len(w))
             for c in w[:-1]:
                 nxt = node.get(c)
                 if nxt is None:
                     nxt = node[c] = {}
                 node = nxt
-            node.setdefault("", []).append(w[-1])  # a word's last character is a symbol of another kind
+            node.setdefault("", []).append(w)  # a word's last character is a symbol of another kind
         out: dict[str, list[int]] = {}
-        inner, final, starts, whole, pairs = self.inner, self.final, self.starts, self.whole, self.pairs
+        goto, fail, ends_inner, ends_final = self.goto, self.fail, self.ends_inner, self.ends_final
+        whole, pairs, size = self.whole, self.pairs, len(self.name_of)
         if len(pairs) > PAIRS:
             pairs.clear()
-        # last[n]: the last token of path[:n]; back[n]: the length of what stands before it.
-        last, back = [-1] * (self.depth_of(root) + 1), [0] * (self.depth_of(root) + 1)
-        stack: list[tuple[str, dict, int]] = [("", root, 0)]
+
+        def last_token(ends: tuple[tuple[int, int], ...], n: int, end: bool) -> tuple[int, int]:
+            for t, k in ends:
+                ok = whole.get(t)
+                if ok is None:
+                    ok = self._is_whole(t, end)
+                if ok:
+                    if k == n:
+                        return t, 0
+                    a = last[n - k]
+                    pair = a * size + t
+                    ok = pairs.get(pair)
+                    if ok is None:
+                        ok = pairs[pair] = self._stay(a, t)
+                    if ok:
+                        return t, n - k
+            raise ValueError("a word without an encoding")
+
+        # last[n]: the last token of the first n characters of the path; back[n]: the length of what stands before it.
+        last, back = [-1] * (depth + 1), [0] * (depth + 1)
+        stack: list[tuple[dict, int, int]] = [(root, 0, 0)]
         while stack:
-            path, node, lo = stack.pop()
-            n = len(path)
+            node, n, state = stack.pop()
             if n:
-                while path[lo:] not in starts:  # no token holds what no token begins with
-                    lo += 1
-                for at in range(lo, n):
-                    t = inner.get(path[at:])
-                    if t is None:
-                        continue
-                    ok = whole.get(t)
-                    if not (self._is_whole(t, False) if ok is None else ok):
-                        continue
-                    if at:
-                        ok = pairs.get((last[at], t))
-                        if not (self._stay(last[at], t) if ok is None else ok):
-                            continue
-                    last[n], back[n] = t, at
-                    break
+                last[n], back[n] = last_token(ends_inner[state], n, False)
             for c, child in node.items():
                 if c:
-                    stack.append((path + c, child, lo))
-                    continue
-                for c in child:  # the words that end here  # noqa: PLW2901
-                    word = path + c
-                    for at in range(lo, n + 1):
-                        t = final.get(word[at:])
-                        if t is not None and self._is_whole(t, True) and (not at or self._stay(last[at], t)):
+                    at = state
+                    while True:  # `step`, in place
+                        nxt = goto[at].get(c)
+                        if nxt is not None or not at:
                             break
-                    else:
-                        raise ValueError(f"no encoding for {word!r}")
+                        at = fail[at]
+                    stack.append((child, n + 1, nxt or 0))
+                    continue
+                for word in child:
+                    t, at = last_token(ends_final[self.step(state, word[-1])], n + 1, True)
                     ids = [t]
                     while at:
                         ids.append(last[at])
@@ -195,62 +275,72 @@ class Bpe:
                     out[word] = ids
         return out
 
-    @staticmethod
-    def depth_of(root: dict) -> int:
-        """Levels of a trie."""
-        depth, level = 0, [root]
-        while level:
-            level = [x for node in level for c, x in node.items() if c]
-            depth += 1
-        return depth
-
-    def _pre_tokens(self, piece: str) -> list[str | int]:
-        """A piece without white space -> byte-level words, and ids of special tokens."""
+    def _words(self, pieces: list[str]) -> list[str | int]:
+        """Pieces without white space, each followed by a line end -> words, ids of special tokens, and those line ends."""
+        joined = "\n".join(pieces) + "\n"
+        if self.cut is None or not self.cut.search(joined):
+            # Only a capital sigma has a lower case that depends on its neighbours; the tokenizer's does not.
+            return _WORDS.findall(unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower())
         out: list[str | int] = []
-        for part in self.cut.split(piece) if self.cut else [piece]:
+        for part in self.cut.split(joined):
             if part in self.special:
                 out.append(self.special[part])
-            elif part:
-                low = unicodedata.normalize("NFC", part)
-                low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
-                out.extend("".join([self.chars[b] for b in w.encode()]) for w in _WORDS.findall(low))
+            else:
+                out.extend(_WORDS.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()))
         return out
 
     def pieces(self, text: str) -> list[str]:
         return _PIECES.findall(text) if _NOT_SPACE.search(text) else text.split()
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Make sure that `seen` has these pieces: number of tokens, and ids joined by spaces."""
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.before = {}, self.seen
-        new = [p for p in set(pieces) if p not in self.seen]
-        if self.before:
-            self.seen.update((p, self.before[p]) for p in new if p in self.before)
-            new = [p for p in new if p not in self.before]
-        new.sort(key=str.lower)  # neighbours share prefixes
+    def _learn(self, words: Iterable[str]) -> None:
+        """Number these words in `known`, and append their tokens to the store."""
+        new = sorted(words)  # neighbours share prefixes
+        codes: list[np.ndarray] = [self.flat]
+        sizes: list[np.ndarray] = [self.sizes]
         collect = gc.isenabled()
         gc.disable()  # a trie is many small dicts and no cycle
         for i in range(0, len(new), TRIE_WORDS):
-            cut = {p: self._pre_tokens(p) for p in new[i : i + TRIE_WORDS]}
-            codes = self.encode_words({w for ws in cut.values() for w in ws if isinstance(w, str)})
-            for p, ws in cut.items():
-                ids = [t for w in ws for t in ([w] if isinstance(w, int) else codes[w])]
-                self.seen[p] = len(ids), " ".join(map(str, ids))
+            part = new[i : i + TRIE_WORDS]
+            byte_level = [w if w.isascii() and w.isprintable() else "".join([self.chars[b] for b in w.encode()]) for w in part]
+            got = self.encode_words(byte_level)
+            lists = [got[w] for w in byte_level]
+            sizes.append(np.fromiter(map(len, lists), np.int32, len(lists)))
+            codes.append(np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+            for w in part:
+                self.known[w]  # numbers it
         if collect:
             gc.enable()
+        self.flat, self.sizes = np.concatenate(codes), np.concatenate(sizes)
+
+    def encode_pieces(self, pieces: list[str]) -> Ragged:
+        """The ids of each piece."""
+        if not pieces:
+            return Ragged(np.zeros(0, np.int64), np.zeros(0, np.int32))
+        found = self._words(pieces)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        distinct = set(found)
+        distinct.discard("\n")
+        special = {w for w in distinct if isinstance(w, int)}
+        self._learn(w for w in distinct if w not in self.known and w not in special)
+        # Line ends get number 0 of the store, which is the empty list, and special tokens the lists after it.
+        number = {"\n": 0, **{t: len(self.known) + i for i, t in enumerate(sorted(special))}}
+        known = self.known
+        if special:
+            at = np.array([number[w] if w in number else known[w] for w in found], dtype=np.int64)
+        else:
+            at = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        tokens = Ragged(np.append(self.sizes, np.ones(len(special), np.int32)), np.append(self.flat, np.array(sorted(special), np.int32)))
+        ends = np.flatnonzero(at == 0) + 1
+        return tokens.take(at).grouped(np.diff(ends, prepend=0))
 
     def forget(self) -> None:
         """Free what only speeds things up."""
-        self.seen, self.before = {}, {}
-        self.pairs.clear()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:  # glibc keeps what was freed otherwise
-            trim(0)
+        self.known = _Numbers({"\n": 0})
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int32)
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        self.learn(pieces)
-        return [int(x) for p in pieces for x in self.seen[p][1].split()]
+        return self.encode_pieces(self.pieces(text)).flat.tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder of its own, this kind of tokenizer joins its tokens' names by spaces."""
@@ -302,8 +392,35 @@ def _shipped(docs: DataFrame, path: str | None) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(raw)
 
 
-def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make: Callable[[Bpe, list[list[str]]], list[pa.Array]]) -> DataFrame:
-    """docs with the columns that `make(vocabulary, pieces of each text)` gives in place of the text, a run of texts at a time."""
+def _cut(v: Bpe, text: str, numbers: _Numbers) -> np.ndarray:
+    """A text's pieces as numbers; a long text is cut at white space first, so only few of its pieces are held at once."""
+    out, lo = [], 0
+    while lo < len(text):
+        hi = lo + CUT_CHARS
+        if hi < len(text):
+            stop = _BREAK.search(text, hi)
+            hi = stop.start() if stop else len(text)
+        pieces = v.pieces(text[lo:hi] if lo or hi < len(text) else text)
+        out.append(np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)))
+        lo = hi
+    return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.int32), *out])
+
+
+def _encoded(v: Bpe, texts: list[str]) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """lo, hi and the ids of texts lo..hi, a run of a bounded number of characters at a time (a longer text is a run of its own)."""
+    for begin, end in _groups(texts, LEARN_CHARS):
+        numbers = _Numbers()
+        cut = [_cut(v, t, numbers) for t in texts[begin:end]]
+        tokens = v.encode_pieces(list(numbers))
+        del numbers
+        for lo, hi in _groups(texts, SEND_CHARS, begin, end):
+            own = cut[lo - begin : hi - begin]
+            got = tokens.take(np.concatenate(own)).grouped(np.array([len(x) for x in own]))
+            yield lo, hi, pa.ListArray.from_arrays(pa.array(np.append(got.first, len(got.flat)).astype(np.int32)), pa.array(got.flat))
+
+
+def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make: Callable[[Bpe, pa.ListArray], list[pa.Array]]) -> DataFrame:
+    """docs with the columns that `make(vocabulary, ids of each text)` gives in place of the text, a run of texts at a time."""
     shipped = _shipped(docs, path)
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -312,32 +429,18 @@ def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make:
         for batch in batches:
             keep = [i for i, n in enumerate(batch.schema.names) if n != text_col]
             texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for begin, end in _groups(texts, LEARN_CHARS):
-                met: set[str] = set()
-                for t in texts[begin:end]:
-                    met.update(vocabulary.pieces(t))
-                vocabulary.learn(met)
-                for lo, hi in _groups(texts, SEND_CHARS, begin, end):
-                    cut = [vocabulary.pieces(t) for t in texts[lo:hi]]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in keep), *make(vocabulary, cut)], names=[*(batch.schema.names[i] for i in keep), *names])
-        vocabulary.forget()  # the worker lives on, for other work
+            for lo, hi, ids in _encoded(vocabulary, texts):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in keep), *make(vocabulary, ids)], names=[*(batch.schema.names[i] for i in keep), *names])
+        tk.release()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
     return docs.mapInArrow(run, f"{kept}, {schema}")
 
 
-def _ids(v: Bpe, cut: list[list[str]]) -> pa.ListArray:
-    """The ids of texts cut into pieces that are learnt."""
-    n = [sum(v.seen[p][0] for p in ps) for ps in cut]
-    ids = np.fromstring(" ".join([v.seen[p][1] for ps in cut for p in ps]), dtype=np.int32, sep=" ") if sum(n) else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))
-
-
-def _digests(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
+def _digests(v: Bpe, ids: pa.ListArray) -> list[pa.Array]:
     """Number of ids, the digest of the ids and that of what these ids decode to."""
-    ids = _ids(v, cut)
     written = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
-    sha = lambda column: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in column.to_pylist()], pa.string())
+    sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
     return [ids.value_lengths().cast(pa.int64()), sha(written), sha(v.decode_lists(ids))]
 
 
@@ -346,12 +449,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     path: a tokenizer file of byte-level BPE with word ends. Extra columns stay; columns named n_tokens or ids must not exist.
     """
-
-    def make(v: Bpe, cut: list[list[str]]) -> list[pa.Array]:
-        ids = _ids(v, cut)
-        return [ids.value_lengths().cast(pa.int64()), ids]
-
-    return _mapped(docs, path, text_col, "n_tokens long, ids array<int>", make)
+    return _mapped(docs, path, text_col, "n_tokens long, ids array<int>", lambda _, ids: [ids.value_lengths().cast(pa.int64()), ids])
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ hold about BLOCK_BYTES of text (one longer text makes a block of its own), which
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,14 @@ BLOCK_BYTES = 1 << 20
 _U = np.uint64
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after a task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc keeps what was freed otherwise
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection that spreads every input bit."""
     x = x.astype(np.uint64, copy=True)
