@@ -4,6 +4,10 @@ Darts fall on the plane of weight and rank above every element, at unit density
 occurs. A document keeps the darts that fall below an element's weight and a rank bound that leaves it about k ln k;
 each dart belongs to one of k coordinates, and a coordinate's value is its earliest dart. Two documents agree in a
 coordinate with the probability of their weighted Jaccard similarity. (T. Christiani, DartMinHash, 2020.)
+
+Elements are a document's shingles, weighted by how often they occur in it. Two documents are near duplicates if the
+weighted Jaccard similarity is high enough, or that of the shingles as sets (weights of 1). The two signatures differ only
+where a document repeats a shingle; such a document has the bands of both.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Most bits of the filter of documents to compare: 64 MB. More documents than it tells apart pass it and are joined away.
 FILTER_BITS = 1 << 29
-#: Documents on either side of a meeting within a large bucket.
-BLOCK = 256
+#: Documents on either side of a meeting within a large bucket, and rounds of further pivots before it.
+BLOCK, ROUNDS = 256, 6
+#: Rows whose darts are thrown at once: some thousand darts each.
+DART_ROWS = 256
 _U = np.uint64
 #: Poisson(1) counts: how many darts a unit area gets, by a uniform number.
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800)])
@@ -120,26 +126,42 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def _bands(keys: np.ndarray, of: np.ndarray, times: np.ndarray, n: int, by_set: bool, by_count: bool, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of a block's rows, and how many each row has: those of the set, and of the counts where these differ."""
+    full = np.bincount(of, minlength=n) > 0
+    repeats = np.zeros(n, dtype=bool)
+    repeats[of[times > 1]] = True
+    keep, own = np.zeros((n, 2 * bands), dtype=bool), np.zeros((n, 2 * bands), dtype=np.uint64)
+    if by_set or not repeats.all():
+        own[:, :bands] = band_keys(signatures(keys, np.ones(len(keys)), of, n, bands * rows), bands, rows)
+        keep[:, :bands] = (full & (by_set | ~repeats))[:, None]
+    if by_count and repeats.any():
+        on = repeats[of]
+        number = np.cumsum(repeats) - 1
+        own[repeats, bands:] = band_keys(signatures(keys[on], times[on].astype(np.float64), number[of[on]], int(repeats.sum()), bands * rows), bands, rows)
+        keep[:, bands:] = repeats[:, None] & ~(keep[:, :bands] & (own[:, :bands] == own[:, bands:]))
+    return own[keep], keep.sum(axis=1)
+
+
+def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, by_set: bool = True, by_count: bool = True) -> DataFrame:
     """doc_id, text -> doc_id, c1, c2 (128 bits of the words' hash) and keys array<long>; no keys for texts without words.
 
-    Further columns stay, after doc_id. counted: elements weigh as often as they occur, for weighted Jaccard; else 1,
-    for that of sets.
+    Further columns stay, after doc_id. by_count: elements weigh as often as they occur, for weighted Jaccard; by_set: 1,
+    for that of sets; the keys are those of one or both.
     """
-    k = bands * rows
     kept = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     names = ["doc_id", *(f.name for f in kept), "c1", "c2", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in tk.blocks(batch.column(1)):
+            for b in tk.blocks(batch.column(1), max_rows=DART_ROWS):
                 keys, of, times, content = shingles(b, shingle)
-                sig = signatures(keys, times.astype(np.float64) if counted else np.ones(len(keys)), of, b.n, k)
                 second = _second(keys, of, times, b.n)
-                full = np.bincount(of, minlength=b.n) > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(full * bands)).astype(np.int32)), pa.array(band_keys(sig, bands, rows)[full].reshape(-1).view(np.int64)))
+                found, n = _bands(keys, of, times, b.n, by_set, by_count, bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(found.view(np.int64)))
                 same = [batch.column(i).slice(b.lo, b.n) for i in (0, *range(2, batch.num_columns))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(content.view(np.int64)), pa.array(second.view(np.int64)), lists], names=names)
+        tk.release()
 
     also = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.select("doc_id", "text", *[f"`{f.name}`" for f in kept]).mapInArrow(run, f"doc_id long{also}, c1 long, c2 long, keys array<long>")
@@ -161,8 +183,20 @@ def _cells(bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64("doc_id", "mark", F.lit(i)), F.lit(bits)) + 1 for i in range(2)]
 
 
-def _sets(docs: DataFrame, involved: DataFrame, shingle: int, counted: bool) -> DataFrame:
-    """id and its set of shingles as sorted keys, for the contents involved; counted: the n-th occurrence is an element of its own.
+def packed(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted distinct keys, and how often each occurs where any does more than once."""
+    head = np.array([len(keys)], dtype=np.uint64).tobytes() + keys.tobytes()
+    return head + times.astype(np.uint32).tobytes() if (times > 1).any() else head
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    keys = np.frombuffer(raw, np.uint64, n, 8)
+    return keys, np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64) if len(raw) > 8 + 8 * n else np.ones(n, dtype=np.int64)
+
+
+def _sets(docs: DataFrame, involved: DataFrame, shingle: int) -> DataFrame:
+    """id and its shingles as sorted keys with counts, `packed`, for the contents involved.
 
     involved: id, c1, c2 and one row, (doc_id, mark), of each content. Texts are not shuffled: rows that a filter of
     these rules out are dropped where they are read.
@@ -181,25 +215,30 @@ def _sets(docs: DataFrame, involved: DataFrame, shingle: int, counted: bool) ->
             for b in tk.blocks(batch.column(0)):
                 keys, of, times, content = shingles(b, shingle)
                 second = _second(keys, of, times, b.n)
-                if counted:
-                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    keys, of = tk.mix(np.repeat(keys, times) + nth.astype(_U)), np.repeat(of, times)
-                    keys = keys[np.lexsort((keys, of))]
                 first = np.searchsorted(of, np.arange(b.n + 1))
-                raw = [keys[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
+                raw = [packed(keys[i:j], times[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(second.view(np.int64)), pa.array(raw, pa.binary())], names=["c1", "c2", "keys"])
+        tk.release()
 
     read = docs.select("text", *[c.alias(f"cell{i}") for i, c in enumerate(_cells(bits))]).mapInArrow(run, "c1 long, c2 long, keys binary")
     # Copies of one content combine before they shuffle.
     return read.dropDuplicates(["c1", "c2"]).join(involved.select("c1", "c2", "id"), ["c1", "c2"]).select("id", "keys")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct keys."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    n = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return n / (len(a) + len(b) - n)
+def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Jaccard similarity of two sets of sorted distinct keys, and the weighted one by their counts."""
+    (x, m), (y, n) = a, b
+    if not len(x) or not len(y):
+        return (float(len(x) == len(y)),) * 2
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    on = y[at] == x
+    common, least = int(on.sum()), int(np.minimum(m[on], n[at[on]]).sum())
+    return common / (len(x) + len(y) - common), least / (int(m.sum() + n.sum()) - least)
+
+
+def _similar(a: bytes, b: bytes, least: float, by_set: bool, by_count: bool) -> bool:
+    s, w = similarities(unpacked(a), unpacked(b))
+    return by_set and s >= least or by_count and w >= least
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,34 +247,28 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(sets.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
 
 
-def _keys(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-
-
-def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _links(pairs: DataFrame, sets: DataFrame, least: float, by_set: bool, by_count: bool) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similarity(x, y) >= least for x, y in zip(_keys(batch.column(2)), _keys(batch.column(3)), strict=True)]
+            keep = [_similar(x.as_buffer(), y.as_buffer(), least, by_set, by_count) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        tk.release()
 
     return _with_sets(pairs, sets).select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, least: float, by_set: bool, by_count: bool, block: int = BLOCK) -> DataFrame:
     """a, b: all links between members of one bucket but different classes.
 
-    members: p (the bucket's pivot), id, class. One of such a pair is not of the pivot's class: these are usually few.
-    They and all members are dealt into blocks of some BLOCK rows, and each block of the ones meets each of the
+    members: p (the bucket's pivot), id, class, out. One of such a pair is not of the pivot's class: these are few.
+    They and all members are dealt into blocks of some `block` rows, and each block of the ones meets each of the
     others once. A meeting counts common shingles through an inverted index and yields links only, so no pair is ever a
     row, no task gets a whole bucket, and nothing is left out.
     """
-    home = stored(members.where(F.col("p") == F.col("id")).select("p", F.col("class").alias("home")), "dart-home")
-    # Written before it is counted, so that a pivot of very many members is split like any skewed key of a join.
-    m = stored(members.join(home, "p").withColumn("out", F.col("class") != F.col("home")), "dart-placed")
-    blocks = m.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"), F.ceil(F.count_if("out") / BLOCK).cast("int").alias("lefts")).where(F.col("lefts") > 0)
-    m = stored(m.join(stored(blocks, "dart-blocks"), "p").join(sets, "id"), "dart-across")
+    blocks = members.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("rights"), F.ceil(F.count_if("out") / block).cast("int").alias("lefts"))
+    m = stored(members.join(stored(blocks, "dart-blocks"), "p").join(sets, "id"), "dart-across")
     dealt = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = m.where("out").select("p", dealt("lefts").alias("l"), every("rights").alias("r"), "id", "class", "keys")
@@ -244,41 +277,67 @@ def _across(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def meet(ours: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         if len(ours) and len(others):
-            sets_ = [np.frombuffer(x, np.uint64) for x in others["keys"]]
-            size = np.array([len(x) for x in sets_])
-            token = np.concatenate(sets_)
+            sets_ = [unpacked(x) for x in others["keys"]]
+            size, total = np.array([len(x) for x, _ in sets_]), np.array([m.sum() for _, m in sets_])
+            token, times = np.concatenate([x for x, _ in sets_]), np.concatenate([m for _, m in sets_])
             order = np.argsort(token, kind="stable")
-            token, owner = token[order], np.repeat(np.arange(len(sets_)), size)[order]
+            token, times, owner = token[order], times[order], np.repeat(np.arange(len(sets_)), size)[order]
             ids, names = others["id"].to_numpy(), others["class"].to_numpy()
             for i, name, raw in zip(ours["id"].tolist(), ours["class"].tolist(), ours["keys"], strict=True):
-                x = np.frombuffer(raw, np.uint64)
+                x, m = unpacked(raw)
                 lo, hi = np.searchsorted(token, x, side="left"), np.searchsorted(token, x, side="right")
                 n = hi - lo
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(size))
-                hit = (common >= least * (len(x) + size - common)) & (names != name)
-                found.extend((i, j) for j in ids[hit].tolist())
+                shared = np.bincount(owner[at], np.minimum(times[at], np.repeat(m, n)), len(size))
+                hit = by_set & (common >= least * (len(x) + size - common)) | by_count & (shared >= least * (m.sum() + total - shared))
+                found.extend((i, j) for j in ids[hit & (names != name)].tolist())
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     keys = ("p", "l", "r")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label once links (a, b) are added: their nodes' classes are joined."""
+    class_of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"c{side}"))
+    over = links.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = components(over.distinct())
+    label = label.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = above.join(label, "node", "left_anti")  # classes of one content that were linked just now
+    return stored(label.unionByName(alone), "dart-labels")
+
+
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """p, id -> p, id, class of the members of meetings that still hold several classes; out: not of the pivot's class."""
+    named = members.join(label, F.col("id") == F.col("node"), "left").select("p", "id", F.coalesce("label", "id").alias("class"))
+    home = named.where(F.col("p") == F.col("id")).select("p", F.col("class").alias("home"))
+    outs = named.join(home, "p").withColumn("out", F.col("class") != F.col("home")).drop("home")
+    outs = stored(outs, "dart-named")
+    many = outs.groupBy("p").agg(F.count_if("out").alias("outs")).where(F.col("outs") > 0)
+    # Written before it is joined, so that a pivot of very many members is split like any skewed key of a join.
+    return stored(outs.join(stored(many, "dart-mixed"), "p"), "dart-members")
+
+
+def grouped(
+    docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, by_set: bool = True, by_count: bool = True, block: int = BLOCK
+) -> DataFrame:
     """doc_id, text -> doc_id, c1, c2 (the content's hash), group and class_id of every row: classes of near duplicates.
 
     group tells classes apart; class_id is the class's smallest doc_id, null where no member has one. Further columns
     stay, but for one named mark.
 
     Texts of the same words are one class at once, texts without words too; each content goes on as one node, whatever
-    the ids of its rows. The members of a bucket are compared with its smallest and its largest, which is all pairs up to three members;
-    where a larger bucket then still holds several classes, `_across` finds every link between two of them. Links
-    are pairs of exact similarity `least` or more, and classes are what links connect. Null texts are empty ones; ids
-    play no part: rows of one id with two texts, and rows with a null id, have the class of their words.
+    the ids of its rows. The members of a bucket are compared with its smallest and its largest, which is all pairs up to
+    three members. Where a larger bucket then still holds several classes, members of other classes than the pivot's
+    become pivots in turn while there are more than `block` of them, and `_across` finds every link that is left. Links are
+    pairs of exact similarity `least` or more, by sets or by counts as asked, and classes are what links connect. Null
+    texts are empty ones; ids play no part: rows of one id with two texts, and rows with a null id, have the class of
+    their words.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    sig = stored(sketches(docs, shingle, bands, rows, counted), "dart-sketches")
+    sig = stored(sketches(docs, shingle, bands, rows, by_set, by_count), "dart-sketches")
     # The first row of a content, by (doc_id, mark) with a null id last, stands for it.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("row")
     unique = sig.groupBy("c1", "c2").agg(first, F.first("keys").alias("keys"))
@@ -291,21 +350,22 @@ def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     pairs = stored(pair(buckets, "id", "lo").unionByName(pair(buckets, "hi", "id")).distinct(), "dart-pairs")
     met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     involved = stored(unique.select("id", "c1", "c2", "doc_id", "mark").join(met, "id"), "dart-involved")
-    sets = stored(_sets(docs, involved, shingle, counted), "dart-sets")
-    links = stored(_links(pairs, sets, least), "dart-links")
+    sets = stored(_sets(docs, involved, shingle), "dart-sets")
+    links = stored(_links(pairs, sets, least, by_set, by_count), "dart-links")
     label = components(links)
 
-    # Larger buckets of more than one class: what the two pivots don't decide.
-    named = buckets.where(F.col("n") > 3).select("key", "id", F.col("lo").alias("p")).join(label, F.col("id") == F.col("node"), "left").select("key", "id", "p", F.coalesce("label", "id").alias("class"))
-    mixed = named.groupBy("key").agg(F.min("class").alias("c_lo"), F.max("class").alias("c_hi")).where(F.col("c_lo") < F.col("c_hi")).select("key")
-    members = stored(named.join(stored(mixed, "dart-mixed"), "key").select("p", "id", "class").distinct(), "dart-members")
-    more = stored(_across(members, sets, least), "dart-more")
-    class_of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"c{side}"))
-    more = more.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    above = components(more.distinct())
-    label = label.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = above.join(label, "node", "left_anti")  # classes of one content that were linked just now
-    label = stored(label.unionByName(alone), "dart-labels")
+    # Larger buckets of more than one class: what the two pivots don't decide. Buckets of one pivot meet together.
+    meetings = stored(buckets.where(F.col("n") > 3).select(F.col("lo").alias("p"), "id").distinct(), "dart-meetings")
+    members = _mixed(meetings, label)
+    for turn in range(ROUNDS):
+        large = members.where(F.col("outs") > block)
+        if not large.limit(1).count():
+            break
+        pivots = large.where("out").groupBy("p").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("q"), F.col("class").alias("of"))).alias("x")).select("p", "x.q", "x.of")
+        asked = large.join(stored(pivots, "dart-pivots"), "p").where(F.col("class") != F.col("of")).select(F.col("id").alias("a"), F.col("q").alias("b")).distinct()
+        label = _merged(label, stored(_links(stored(asked, "dart-asked"), sets, least, by_set, by_count), "dart-found"))
+        members = _mixed(members.select("p", "id"), label)
+    label = _merged(label, stored(_across(members, sets, least, by_set, by_count, block), "dart-more"))
 
     # Contents that nothing links are classes of their own; the others take the smallest doc_id that their label has.
     one = unique.select("c1", "c2", "doc_id", "id")
@@ -316,10 +376,15 @@ def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     return sig.drop("keys", "mark").join(every, ["c1", "c2"])
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, text -> doc_id, class_id of every row, as `grouped` finds them."""
-    return grouped(docs.select("doc_id", "text"), least, shingle, bands, rows, counted).select("doc_id", "class_id")
+    return grouped(docs.select("doc_id", "text"), **options).select("doc_id", "class_id")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class_id of every row of documents: the smallest id among its near duplicates by five-word shingles.
+
+    Null and empty texts, and texts without words, are one class; texts of fewer than five words have one shingle, all
+    their words; repeated rows are rows of the result. An empty table gives an empty result. Classes don't depend on order.
+    """
     return classes(text_of(table(spark, sf_dir, "documents")))

@@ -70,7 +70,8 @@ class Block:
         return self.hi - self.lo
 
 
-def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES, max_rows: int = 1 << 30) -> Iterator[Block]:
+    """Blocks of some max_bytes of text, one text at least, and max_rows rows at most."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -83,6 +84,7 @@ def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, int(off[lo]) + max_bytes, side="right")) - 1)
+        hi = min(hi, lo + max_rows)
         yield Block(data[off[lo] : off[hi]], (off[lo : hi + 1] - off[lo]).astype(np.int64), lo, hi)
         lo = hi
 

@@ -161,7 +161,7 @@ def test_near_duplicates_against_brute_force(spark, docs):
     want = {i: i for i in texts}
     for i in texts:
         for j in texts:
-            if j < i and jaccard(texts[i], texts[j]) >= 0.8 and want[i] != want[j]:
+            if j < i and max(jaccard(texts[i], texts[j]), weighted_jaccard(texts[i], texts[j])) >= 0.8 and want[i] != want[j]:
                 lo, hi = sorted((want[i], want[j]))
                 want = {k: lo if v == hi else v for k, v in want.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -182,11 +182,39 @@ def test_near_duplicates_go_by_text_not_by_id(spark):
     assert by[0]["group"] == by[1]["group"] and by[2]["group"] == by[3]["group"] and by[4]["group"] == by[5]["group"] and len({r["group"] for r in got}) == 3
 
 
-def test_counted_shingles_are_weighted(spark):
-    a, b = " ".join(["p q r s t"] * 10), " ".join(["p q r s t"] * 20)
-    df = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
-    assert {r["class_id"] for r in dartminhash.classes(df).collect()} == {0}
-    assert {r["class_id"] for r in dartminhash.classes(df, counted=True).collect()} == {0, 1}
+def weighted_jaccard(a, b):
+    s = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in (x.split() for x in (a, b))]
+    return sum((s[0] & s[1]).values()) / sum((s[0] | s[1]).values()) if s[0] | s[1] else 1.0
+
+
+def test_shingles_weigh_as_often_as_they_occur(spark):
+    once, line = " ".join(f"a{i}" for i in range(24)), "p q r s t"
+    rows = ["p q r s t " * 10, "p q r s t " * 20]  # alike as sets only
+    rows += [" ".join([line.replace("p", "z")] * 60 + [f"{x}{i}" for i in range(20)]) for x in "xy"]  # alike by counts only
+    rows += [once + " e1", once + " e2", "other " * 3]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    of = lambda **kw: [r["class_id"] for r in dartminhash.classes(df, **kw).orderBy("doc_id").collect()]
+    assert jaccard(*rows[:2]) >= 0.8 > weighted_jaccard(*rows[:2]) and jaccard(*rows[2:4]) < 0.8 <= weighted_jaccard(*rows[2:4])
+    assert of(by_count=False) == [0, 0, 2, 3, 4, 4, 6] and of(by_set=False) == [0, 1, 2, 2, 4, 4, 6] and of() == [0, 0, 2, 2, 4, 4, 6]
+
+
+def test_large_buckets_lose_no_link(spark):
+    """A chain: neighbours are near duplicates, ends are not, and all share bands; blocks and rounds of pivots are forced."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts, chain = {}, list(words)
+    for i in range(60):
+        texts[i] = " ".join(chain)
+        for _ in range(3):
+            chain[rnd.randrange(400)] = f"x{rnd.random()}"
+    want = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and max(jaccard(texts[i], texts[j]), weighted_jaccard(texts[i], texts[j])) >= 0.8 and want[i] != want[j]:
+                lo, hi = sorted((want[i], want[j]))
+                want = {k: lo if v == hi else v for k, v in want.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.classes(df, block=4).collect()} == want
 
 
 def test_components(spark):
