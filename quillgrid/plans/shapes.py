@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, path, textgeom
 from ..sources import container
+from ..staging import shared_path
 from ..store import Block, with_fid
-from ..types import field
+from ..types import BY_NAME, field
 
 
 def rings(s: SparkSession, d: str) -> DataFrame:
@@ -154,19 +155,16 @@ def simplify_rdp(s: SparkSession, d: str) -> DataFrame:
 
 
 def container_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    """Nations through a container: written to the shared folder of the session, and read from there."""
-    import tempfile
-    import uuid
-
-    from pyspark.sql import types as T
-
-    n = with_fid(s.read.parquet(f"{d}/nation.parquet"), "n_nationkey")
-    schema = T.StructType([n.schema["_fid"], field("n_nationkey", "i32"), field("n_name", "str"), field("n_regionkey", "i32")])
-    block = Block.of(s, {"nation": s.createDataFrame(n.collect(), schema)})  # the container is one buffer of few rows
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    where = f"{root}/quillgrid-container-{uuid.uuid4().hex}"
-    container.save(block, where)
-    return container.load(s, where)["nation"].df
+    """Nations and suppliers through one container: written to the shared folder, and read from there."""
+    layers = {}
+    for t, cols in (("nation", (("n_nationkey", "i32"), ("n_name", "str"), ("n_regionkey", "u8"))), ("supplier", (("s_suppkey", "u32"), ("s_name", "wstr"), ("s_nationkey", "u16"), ("s_acctbal", "f64")))):
+        rows = with_fid(s.read.parquet(f"{d}/{t}.parquet"), cols[0][0])
+        layers[t] = rows.select("_fid", *[F.col(n).cast(BY_NAME[k].spark).alias(n, metadata=field(n, k).metadata) for n, k in cols])
+    where = shared_path(s, "container")
+    container.save(Block.of(s, layers), where)
+    back = container.load(s, where)
+    nations = back["nation"].df.select("_fid", F.lit("nation").alias("layer"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("double").alias("value"))
+    return nations.unionByName(back["supplier"].df.select("_fid", F.lit("supplier").alias("layer"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), (F.col("s_acctbal") + F.col("s_nationkey")).alias("value")))
 
 
 QUERIES = {f.__name__: f for f in (line_length, line_bounds, dissolve_segments, extract_points, ring_area, ring_centroid, point_in_polygon, closest_point, segment_intersect, strip_duplicates, transform_path, ellipse_points, wkt_write, wkt_read, wkb_roundtrip, polygon_boolean_area, offset_area, minkowski_area, rect_clip, simplify_rdp, container_roundtrip)}
@@ -198,5 +196,5 @@ ORACLE_SQL = {
     "offset_area": f"SELECT k, CAST((w + 2) * (w + 2) AS DOUBLE) AS area FROM {_sup}",
     "minkowski_area": f"SELECT k, CAST((w + 1) * (w + 1) - (w - 1) * (w - 1) AS DOUBLE) AS area FROM {_sup}",
     "rect_clip": f"SELECT k, CAST({_ov} AS DOUBLE) AS area FROM {_sup}",
-    "container_roundtrip": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _fid, n_nationkey, n_name, n_regionkey FROM nation",
+    "container_roundtrip": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _fid, 'nation' AS layer, CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_regionkey AS DOUBLE) AS value FROM nation UNION ALL SELECT row_number() OVER (ORDER BY s_suppkey) - 1, 'supplier', s_suppkey, s_name, s_acctbal + s_nationkey FROM supplier",
 }

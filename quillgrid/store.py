@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import stored
 from .types import BY_NAME, FID, REF_TYPE, Feature, field, fields_of, schema_of
 
 NAMES = "_name_"
@@ -21,15 +22,18 @@ NAME_SCHEMA = T.StructType([T.StructField(FID, T.LongType(), False), field("name
 
 
 def with_fid(df: DataFrame, *order: str | Column) -> DataFrame:
-    """df with row numbers from 0 in a declared order, computed without one task for all rows.
+    """df with row numbers from 0 in a declared order, computed without one task for all rows. Rows that tie get theirs in any order.
 
-    Rows are range-partitioned by the order; each partition numbers its own and adds the sizes of those before it.
+    Rows are range-partitioned by the order, sorted and written once with their place in their partition. Both the sizes
+    of the partitions and the numbers come from that table: a plan that partitions twice samples, and coalesces, anew.
     """
-    part = df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).withColumn("_part", F.spark_partition_id())
-    local = part.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = part.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
-    numbered = local.join(F.broadcast(sizes.select("_part", "_before")), "_part")  # one row a partition
-    return numbered.withColumn(FID, F.col("_before") + F.col("_at") - 1).select(FID, *df.columns)
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33)  # the partition stands above the place within it
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.withColumn(FID, F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1)).select(FID, *df.columns)
 
 
 def with_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -97,6 +101,16 @@ def dereference(parents: DataFrame, ref: str, child: DataFrame, prefix: str, lay
     return parents.join(c, on, "left")
 
 
+def _field(schema: T.StructType, at: tuple[str, ...], kind: str) -> Column:
+    """A field of nested structs as its layer's column; its default where a struct or the field is missing or null."""
+    here: T.DataType = schema
+    for name in at:
+        here = here[name].dataType if isinstance(here, T.StructType) and name in here.names else None
+    default = F.lit(BY_NAME[kind].default).cast(BY_NAME[kind].spark)
+    column = default if here is None else F.coalesce(F.col(".".join(f"`{n}`" for n in at)).cast(BY_NAME[kind].spark), default)
+    return column.alias(at[-1], metadata={"ft": kind})
+
+
 class Block:
     """An ordered set of layers."""
 
@@ -159,6 +173,42 @@ class Block:
             block.layers[name] = Layer(name, df, i)
         return block
 
+    @classmethod
+    def push_all(cls, spark: SparkSession, kind: type[Feature], rows: DataFrame, *order: str | Column, layer: str | None = None) -> Block:
+        """A fixed block of many rows of a schema class, as `push` of one after another in this order would build it.
+
+        rows has the class's fields as columns, references as structs of their class's fields; missing columns and nulls are
+        defaults. Each reference gets a row of its own, numbered from its parent's number, so only the parents are sorted.
+        """
+        layers: dict[str, tuple[type[Feature], list[tuple[tuple[str, ...], dict[str, tuple[str, int]]]]]] = {}
+
+        def plan(of: type[Feature], at: tuple[str, ...], name: str) -> tuple[str, int]:
+            layers.setdefault(name, (of, []))
+            refs = {f: plan(t, (*at, f), t.__name__) for f, t in fields_of(of).items() if isinstance(t, type)}
+            layers[name][1].append((at, refs))
+            return name, len(layers[name][1]) - 1
+
+        plan(kind, (), layer or kind.__name__)
+        numbered = with_fid(rows, *order)
+        index = {n: i for i, n in enumerate(layers)}
+        out: dict[str, DataFrame] = {}
+        for name, (of, places) in layers.items():
+            parts = []
+            for nth, (at, refs) in enumerate(places):
+                cols = [(F.col(FID) * len(places) + nth).alias(FID)]
+                for f, t in fields_of(of).items():
+                    if isinstance(t, type):
+                        other, i = refs[f]
+                        cols.append(F.struct(F.lit(index[other]).alias("ilayer"), (F.col(FID) * len(layers[other][1]) + i).alias("ifeature")).alias(f))
+                    else:
+                        cols.append(_field(numbered.schema, (*at, f), t))
+                parts.append(numbered.select(*cols))
+            df = parts[0]
+            for p in parts[1:]:
+                df = df.unionByName(p)
+            out[name] = df
+        return cls.of(spark, out)
+
     @property
     def fixed(self) -> bool:
         return self._rows is None
@@ -267,6 +317,16 @@ class Block:
             raise FileNotFoundError(name)
         return cls.of(spark, {v.split("__", 1)[1][5:]: spark.table(f"global_temp.{v}") for v in views})
 
+    def close(self) -> None:
+        """Drop the layers: the block holds none and takes none from here on. What was saved or shared stays."""
+        self.layers, self._rows, self._schemas = {}, None, {}
+
+    def __enter__(self) -> Block:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def unlink(self, name: str) -> None:
         for x in self.layers.values():
             self.spark.catalog.dropGlobalTempView(f"{name}__{x.index:04d}_{x.name}")

@@ -6,7 +6,7 @@ column's metadata; references keep the name of the layer they point to.
 
 from __future__ import annotations
 
-import typing
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -71,9 +71,12 @@ _cache: dict[type, dict[str, str | type[Feature]]] = {}
 def fields_of(cls: type) -> dict[str, str | type[Feature]]:
     """Field name -> type name or referenced class, in order; names that begin with _ are no fields."""
     if cls not in _cache:
-        hints = {}
+        hints: dict[str, object] = {}
+        homes: dict[str, type] = {}
         for base in reversed(cls.__mro__):
-            hints |= {k: v for k, v in vars(base).get("__annotations__", {}).items()} if base is not Feature and base is not object else {}
+            own = vars(base).get("__annotations__", {}) if base is not Feature and base is not object else {}
+            hints |= own
+            homes |= dict.fromkeys(own, base)
         out: dict[str, str | type[Feature]] = {}
         for name, kind in hints.items():
             if name.startswith("_"):
@@ -81,7 +84,7 @@ def fields_of(cls: type) -> dict[str, str | type[Feature]]:
             if isinstance(kind, str) and kind.strip("\"'") in ("bool", *BY_NAME):
                 kind = kind.strip("\"'")
             elif isinstance(kind, str):
-                kind = typing.get_type_hints(cls)[name]
+                kind = vars(sys.modules[homes[name].__module__]).get(kind.strip("\"'"), kind)
             if isinstance(kind, type) and issubclass(kind, Feature):
                 if kind is cls:
                     raise TypeError(f"{cls.__name__}.{name} refers to its own class")

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
+from quillgrid import staging
 from quillgrid.sources import container
-from quillgrid.store import NAMES, Block
+from quillgrid.store import NAMES, Block, with_fid
 from quillgrid.types import FID, Feature, field, fields_of, schema_of
 
 
@@ -87,3 +89,49 @@ def test_container_keeps_every_type(spark, tmp_path):
     assert got[0]["w"] == "\U0001f600" and got[1]["r"] == {"ilayer": 0, "ifeature": 2**24 - 1} and bytes(got[0]["_bytes"]) == b"\x00\x01"
     with pytest.raises(ValueError):
         container.headers(b"nothing")
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_numbers_of_wide_rows_in_many_partitions(spark, adaptive):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for k, v in zip(old, (adaptive, "64", "1m"), strict=True):
+            spark.conf.set(k, v)
+        wide = spark.range(0, 30_000, 1, 16).select((F.pmod(F.col("id") * 7919, F.lit(30_011))).alias("k"), F.col("id").alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 6).alias("text"))
+        got = with_fid(wide, F.desc("k"))
+        assert got.columns == [FID, "k", "v", "text"] and got.count() == 30_000
+        rows = got.select(FID, "k", "v").orderBy(FID).collect()
+        want = sorted(((i * 7919 % 30_011, i) for i in range(30_000)), reverse=True)
+        assert [tuple(r) for r in rows] == [(n, k, v) for n, (k, v) in enumerate(want)]
+        assert with_fid(wide.limit(0), "k").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_bulk_push_builds_what_push_builds(spark):
+    rows = [Triangle(id=i, a=Point(x=1.0 + i, y=2.0, z=3.0), b=Point(x=4.0, y=5.0 * i, z=6.0), c=Point()) for i in range(9)]
+    one = Block.create(spark)
+    for r in rows:
+        one.push(r)
+    one.fix()
+    point = lambda p: None if p is None else (p.x, p.y, p.z)
+    df = spark.createDataFrame([(r.id, point(r.a), point(r.b)) for r in rows], "id long, a struct<x:double,y:double,z:double>, b struct<x:double,y:double,z:double>")
+    many = Block.push_all(spark, Triangle, df, "id")
+    for name in ("Triangle", "Point"):
+        strip = lambda r: [tuple(x) if not isinstance(x, (int, float)) else x for x in r]
+        a, b = ([strip(r) for r in block[name]] for block in (one, many))
+        if name == "Triangle":  # the bulk block has no layer of names, so its layers count from 0
+            a = [[*r[:2], *[(i - 1, f) for i, f in r[2:]]] for r in a]
+        assert a == b
+    with many as open_:
+        assert len(open_) == 2
+    assert len(many) == 0
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    kept = staging.stored(spark.range(5), "t")
+    where = kept.inputFiles()[0]
+    staging.clear()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    assert not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
