@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, shared_path, stored  # noqa: F401
+
 #: The word of every contract: maximal runs of bytes other than these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,34 +20,24 @@ def text_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillgrid-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended: its owner clears the shared folder
-        pass
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has, so that working columns never clash with a caller's."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"  # noqa: PLW2901
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/quillgrid-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs less its columns of these names, which an operator gives anew."""
+    return docs.drop(*[c for c in docs.columns if c.lower() in names])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again, so a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, nulls included: rows that agree in both are alike in every column."""
+    cells = [c for name in docs.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    return [F.xxhash64(F.lit(i), *cells) for i in (1, 2)]
