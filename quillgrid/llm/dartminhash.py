@@ -5,9 +5,9 @@ occurs. A document keeps the darts that fall below an element's weight and a ran
 each dart belongs to one of k coordinates, and a coordinate's value is its earliest dart. Two documents agree in a
 coordinate with the probability of their weighted Jaccard similarity. (T. Christiani, DartMinHash, 2020.)
 
-Elements are a document's shingles, weighted by how often they occur in it. Two documents are near duplicates if the
-weighted Jaccard similarity is high enough, or that of the shingles as sets (weights of 1). The two signatures differ only
-where a document repeats a shingle; such a document has the bands of both.
+Elements are a document's shingles. One that occurs more than once weighs up to TILT more than one that occurs once: 1 +
+TILT * (1 - 1 / count). Raw counts would make near duplicates of unlike documents that repeat one line often. Two
+documents are near duplicates if their similarity by these weights is high enough, or that of the shingles as sets.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import stored, table, text_of
+from .common import stored, table, text_of, without
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Most bits of the filter of documents to compare: 64 MB. More documents than it tells apart pass it and are joined away.
 FILTER_BITS = 1 << 29
-#: Documents on either side of a meeting within a large bucket, and rounds of further pivots before it.
-BLOCK, ROUNDS = 256, 6
+#: How much more a repeated shingle weighs at most.
+TILT = 0.25
+#: Documents on either side of a meeting within a large bucket.
+BLOCK = 256
 #: Rows whose darts are thrown at once: some thousand darts each.
 DART_ROWS = 256
 _U = np.uint64
@@ -126,28 +128,15 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def _bands(keys: np.ndarray, of: np.ndarray, times: np.ndarray, n: int, by_set: bool, by_count: bool, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of a block's rows, and how many each row has: those of the set, and of the counts where these differ."""
-    full = np.bincount(of, minlength=n) > 0
-    repeats = np.zeros(n, dtype=bool)
-    repeats[of[times > 1]] = True
-    keep, own = np.zeros((n, 2 * bands), dtype=bool), np.zeros((n, 2 * bands), dtype=np.uint64)
-    if by_set or not repeats.all():
-        own[:, :bands] = band_keys(signatures(keys, np.ones(len(keys)), of, n, bands * rows), bands, rows)
-        keep[:, :bands] = (full & (by_set | ~repeats))[:, None]
-    if by_count and repeats.any():
-        on = repeats[of]
-        number = np.cumsum(repeats) - 1
-        own[repeats, bands:] = band_keys(signatures(keys[on], times[on].astype(np.float64), number[of[on]], int(repeats.sum()), bands * rows), bands, rows)
-        keep[:, bands:] = repeats[:, None] & ~(keep[:, :bands] & (own[:, :bands] == own[:, bands:]))
-    return own[keep], keep.sum(axis=1)
-
-
-def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, by_set: bool = True, by_count: bool = True) -> DataFrame:
+def weights_of(times: np.ndarray, tilt: float) -> np.ndarray:
+    """Weights of elements that occur so many times."""
+    return 1 + tilt * (1 - 1 / times)
+
+
+def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, tilt: float = TILT) -> DataFrame:
     """doc_id, text -> doc_id, c1, c2 (128 bits of the words' hash) and keys array<long>; no keys for texts without words.
 
-    Further columns stay, after doc_id. by_count: elements weigh as often as they occur, for weighted Jaccard; by_set: 1,
-    for that of sets; the keys are those of one or both.
+    Further columns stay, after doc_id.
     """
     kept = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     names = ["doc_id", *(f.name for f in kept), "c1", "c2", "keys"]
@@ -157,8 +146,9 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
             for b in tk.blocks(batch.column(1), max_rows=DART_ROWS):
                 keys, of, times, content = shingles(b, shingle)
                 second = _second(keys, of, times, b.n)
-                found, n = _bands(keys, of, times, b.n, by_set, by_count, bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(found.view(np.int64)))
+                full = np.bincount(of, minlength=b.n) > 0
+                found = band_keys(signatures(keys, weights_of(times, tilt), of, b.n, bands * rows), bands, rows)[full]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(full * bands)).astype(np.int32)), pa.array(found.reshape(-1).view(np.int64)))
                 same = [batch.column(i).slice(b.lo, b.n) for i in (0, *range(2, batch.num_columns))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(content.view(np.int64)), pa.array(second.view(np.int64)), lists], names=names)
         tk.release()
@@ -225,20 +215,24 @@ def _sets(docs: DataFrame, involved: DataFrame, shingle: int) -> DataFrame:
     return read.dropDuplicates(["c1", "c2"]).join(involved.select("c1", "c2", "id"), ["c1", "c2"]).select("id", "keys")
 
 
-def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Jaccard similarity of two sets of sorted distinct keys, and the weighted one by their counts."""
-    (x, m), (y, n) = a, b
+def similarities(a: bytes, b: bytes, tilt: float) -> tuple[float, float]:
+    """Jaccard similarity of two packed sets, and the weighted one."""
+    (x, m), (y, n) = unpacked(a), unpacked(b)
     if not len(x) or not len(y):
         return (float(len(x) == len(y)),) * 2
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     on = y[at] == x
-    common, least = int(on.sum()), int(np.minimum(m[on], n[at[on]]).sum())
-    return common / (len(x) + len(y) - common), least / (int(m.sum() + n.sum()) - least)
+    common = int(on.sum())
+    plain = common / (len(x) + len(y) - common)
+    if not tilt or int(m.sum() + n.sum()) == len(x) + len(y):
+        return plain, plain
+    least = weights_of(np.minimum(m[on], n[at[on]]), tilt).sum()
+    return plain, float(least / (weights_of(m, tilt).sum() + weights_of(n, tilt).sum() - least))
 
 
-def _similar(a: bytes, b: bytes, least: float, by_set: bool, by_count: bool) -> bool:
-    s, w = similarities(unpacked(a), unpacked(b))
-    return by_set and s >= least or by_count and w >= least
+def reach(least: float, tilt: float) -> float:
+    """How far near duplicates can be apart as sets, in Jaccard distance: elements weigh 1 to 1 + tilt."""
+    return 1 - least / (least + (1 - least) * (1 + tilt))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,97 +241,79 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(sets.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, least: float, by_set: bool, by_count: bool) -> DataFrame:
-    """The pairs (a, b) whose shingles are similar enough."""
+def _judged(pairs: DataFrame, sets: DataFrame, least: float, tilt: float) -> DataFrame:
+    """The pairs (a, b) with their distance as sets, and near, whether they are near duplicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_similar(x.as_buffer(), y.as_buffer(), least, by_set, by_count) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            found = [similarities(x.as_buffer(), y.as_buffer(), tilt) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([1 - x for x, _ in found], pa.float64()), pa.array([max(x) >= least for x in found], pa.bool_())], names=["a", "b", "apart", "near"])
         tk.release()
 
-    return _with_sets(pairs, sets).select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long").distinct()
+    return _with_sets(pairs, sets).select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long, apart double, near boolean")
 
 
-def _across(members: DataFrame, sets: DataFrame, least: float, by_set: bool, by_count: bool, block: int = BLOCK) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, least: float, tilt: float, block: int = BLOCK) -> DataFrame:
     """a, b: all links between members of one bucket but different classes.
 
-    members: p (the bucket's pivot), id, class, out. One of such a pair is not of the pivot's class: these are few.
-    They and all members are dealt into blocks of some `block` rows, and each block of the ones meets each of the
-    others once. A meeting counts common shingles through an inverted index and yields links only, so no pair is ever a
-    row, no task gets a whole bucket, and nothing is left out.
+    members: p (the bucket's pivot), id, class, out (not of the pivot's class), apart (the distance from the pivot). One of such
+    a pair is out. Jaccard distance is a metric, so near duplicates lie in rings around the pivot that are no farther
+    apart than they may be: those that are out meet the members of the rings within reach, in blocks of some `block` rows
+    which meet each other once. A meeting counts common shingles through an inverted index and yields links only, so no
+    pair is ever a row, no task gets a whole bucket, and nothing is left out.
     """
-    blocks = members.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("rights"), F.ceil(F.count_if("out") / block).cast("int").alias("lefts"))
-    m = stored(members.join(stored(blocks, "dart-blocks"), "p").join(sets, "id"), "dart-across")
+    far = reach(least, tilt)
+    m = stored(members.withColumn("ring", F.floor(F.col("apart") / F.lit(far / 2)).cast("int")), "dart-rings")
+    right = m.select("p", F.col("ring").alias("q"), "id", "class")
+    left = m.where("out").select("p", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.col("ring") + i)).alias("q"), "id", "class")
+    parts = lambda d, to: d.groupBy("p", "q").agg(F.ceil(F.count("*") / block).cast("int").alias(to))
+    blocks = stored(parts(left, "lefts").join(parts(right, "rights"), ["p", "q"]), "dart-blocks")
     dealt = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = m.where("out").select("p", dealt("lefts").alias("l"), every("rights").alias("r"), "id", "class", "keys")
-    right = m.select("p", every("lefts").alias("l"), dealt("rights").alias("r"), "id", "class", "keys")
+    left = left.join(blocks, ["p", "q"]).select("p", "q", dealt("lefts").alias("l"), every("rights").alias("r"), "id", "class")
+    right = right.join(blocks, ["p", "q"]).select("p", "q", every("lefts").alias("l"), dealt("rights").alias("r"), "id", "class")
 
     def meet(ours: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         if len(ours) and len(others):
             sets_ = [unpacked(x) for x in others["keys"]]
-            size, total = np.array([len(x) for x, _ in sets_]), np.array([m.sum() for _, m in sets_])
-            token, times = np.concatenate([x for x, _ in sets_]), np.concatenate([m for _, m in sets_])
+            size, total = np.array([len(x) for x, _ in sets_]), np.array([weights_of(n, tilt).sum() for _, n in sets_])
+            token, times = np.concatenate([x for x, _ in sets_]), np.concatenate([n for _, n in sets_])
             order = np.argsort(token, kind="stable")
             token, times, owner = token[order], times[order], np.repeat(np.arange(len(sets_)), size)[order]
             ids, names = others["id"].to_numpy(), others["class"].to_numpy()
             for i, name, raw in zip(ours["id"].tolist(), ours["class"].tolist(), ours["keys"], strict=True):
-                x, m = unpacked(raw)
+                x, n = unpacked(raw)
                 lo, hi = np.searchsorted(token, x, side="left"), np.searchsorted(token, x, side="right")
-                n = hi - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hits = hi - lo
+                at = np.repeat(lo - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
                 common = np.bincount(owner[at], minlength=len(size))
-                shared = np.bincount(owner[at], np.minimum(times[at], np.repeat(m, n)), len(size))
-                hit = by_set & (common >= least * (len(x) + size - common)) | by_count & (shared >= least * (m.sum() + total - shared))
-                found.extend((i, j) for j in ids[hit & (names != name)].tolist())
+                shared = np.bincount(owner[at], weights_of(np.minimum(times[at], np.repeat(n, hits)), tilt), len(size))
+                near = (common >= least * (len(x) + size - common)) | (shared >= least * (weights_of(n, tilt).sum() + total - shared))
+                found.extend((i, j) for j in ids[near & (names != name)].tolist())
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    keys = ("p", "l", "r")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "a long, b long").distinct()
-
-
-def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label once links (a, b) are added: their nodes' classes are joined."""
-    class_of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"c{side}"))
-    over = links.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    above = components(over.distinct())
-    label = label.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = above.join(label, "node", "left_anti")  # classes of one content that were linked just now
-    return stored(label.unionByName(alone), "dart-labels")
-
-
-def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
-    """p, id -> p, id, class of the members of meetings that still hold several classes; out: not of the pivot's class."""
-    named = members.join(label, F.col("id") == F.col("node"), "left").select("p", "id", F.coalesce("label", "id").alias("class"))
-    home = named.where(F.col("p") == F.col("id")).select("p", F.col("class").alias("home"))
-    outs = named.join(home, "p").withColumn("out", F.col("class") != F.col("home")).drop("home")
-    outs = stored(outs, "dart-named")
-    many = outs.groupBy("p").agg(F.count_if("out").alias("outs")).where(F.col("outs") > 0)
-    # Written before it is joined, so that a pivot of very many members is split like any skewed key of a join.
-    return stored(outs.join(stored(many, "dart-mixed"), "p"), "dart-members")
+    keys = ("p", "q", "l", "r")
+    with_sets = lambda d: d.join(sets, "id").select(*[F.col(c).alias(c) for c in (*keys, "id", "class", "keys")]).groupBy(*keys)
+    return with_sets(left).cogroup(with_sets(right)).applyInPandas(meet, "a long, b long").distinct()
 
 
-def grouped(
-    docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, by_set: bool = True, by_count: bool = True, block: int = BLOCK
-) -> DataFrame:
+def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, tilt: float = TILT, block: int = BLOCK) -> DataFrame:
     """doc_id, text -> doc_id, c1, c2 (the content's hash), group and class_id of every row: classes of near duplicates.
 
     group tells classes apart; class_id is the class's smallest doc_id, null where no member has one. Further columns
-    stay, but for one named mark.
+    stay, but those named like the result's, keys or mark are replaced or dropped.
 
     Texts of the same words are one class at once, texts without words too; each content goes on as one node, whatever
     the ids of its rows. The members of a bucket are compared with its smallest and its largest, which is all pairs up to
-    three members. Where a larger bucket then still holds several classes, members of other classes than the pivot's
-    become pivots in turn while there are more than `block` of them, and `_across` finds every link that is left. Links are
-    pairs of exact similarity `least` or more, by sets or by counts as asked, and classes are what links connect. Null
-    texts are empty ones; ids play no part: rows of one id with two texts, and rows with a null id, have the class of
-    their words.
+    three members; where a larger bucket then still holds several classes, `_across` finds every link between two of
+    them. Links are pairs of exact similarity `least` or more, and classes are what links connect. Null texts are empty
+    ones; ids play no part: rows of one id with two texts, and rows with a null id, have the class of their words.
     """
+    docs = without(docs, "c1", "c2", "group", "class_id", "keys", "mark")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    sig = stored(sketches(docs, shingle, bands, rows, by_set, by_count), "dart-sketches")
+    sig = stored(sketches(docs, shingle, bands, rows, tilt), "dart-sketches")
     # The first row of a content, by (doc_id, mark) with a null id last, stands for it.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("row")
     unique = sig.groupBy("c1", "c2").agg(first, F.first("keys").alias("keys"))
@@ -351,21 +327,24 @@ def grouped(
     met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     involved = stored(unique.select("id", "c1", "c2", "doc_id", "mark").join(met, "id"), "dart-involved")
     sets = stored(_sets(docs, involved, shingle), "dart-sets")
-    links = stored(_links(pairs, sets, least, by_set, by_count), "dart-links")
-    label = components(links)
+    judged = stored(_judged(pairs, sets, least, tilt), "dart-judged")
+    label = components(judged.where("near").select("a", "b"))
 
     # Larger buckets of more than one class: what the two pivots don't decide. Buckets of one pivot meet together.
-    meetings = stored(buckets.where(F.col("n") > 3).select(F.col("lo").alias("p"), "id").distinct(), "dart-meetings")
-    members = _mixed(meetings, label)
-    for turn in range(ROUNDS):
-        large = members.where(F.col("outs") > block)
-        if not large.limit(1).count():
-            break
-        pivots = large.where("out").groupBy("p").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("q"), F.col("class").alias("of"))).alias("x")).select("p", "x.q", "x.of")
-        asked = large.join(stored(pivots, "dart-pivots"), "p").where(F.col("class") != F.col("of")).select(F.col("id").alias("a"), F.col("q").alias("b")).distinct()
-        label = _merged(label, stored(_links(stored(asked, "dart-asked"), sets, least, by_set, by_count), "dart-found"))
-        members = _mixed(members.select("p", "id"), label)
-    label = _merged(label, stored(_across(members, sets, least, by_set, by_count, block), "dart-more"))
+    named = buckets.where(F.col("n") > 3).select("id", F.col("lo").alias("p")).distinct().join(label, F.col("id") == F.col("node"), "left").select("p", "id", F.coalesce("label", "id").alias("class"))
+    home = stored(named.where(F.col("p") == F.col("id")).select("p", F.col("class").alias("home")), "dart-home")
+    # Written before it is counted, so that a pivot of very many members is split like any skewed key of a join.
+    placed = stored(named.join(home, "p").select("p", "id", "class", (F.col("class") != F.col("home")).alias("out")), "dart-placed")
+    mixed = placed.where("out").select("p").distinct()
+    distance = judged.select(F.col("a").alias("id"), F.col("b").alias("p"), "apart")
+    members = placed.join(stored(mixed, "dart-mixed"), "p").join(distance, ["p", "id"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0)))  # the pivot has none
+    more = stored(_across(members, sets, least, tilt, block), "dart-more")
+    class_of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"c{side}"))
+    more = more.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = components(more.distinct())
+    label = label.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = above.join(label, "node", "left_anti")  # classes of one content that were linked just now
+    label = stored(label.unionByName(alone), "dart-labels")
 
     # Contents that nothing links are classes of their own; the others take the smallest doc_id that their label has.
     one = unique.select("c1", "c2", "doc_id", "id")

@@ -107,6 +107,26 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert cut == "é ß 漢字 \U0001f600 Σίσυφος [SECRET] [SECRET]"
 
 
+def plain_redacted(t):
+    out, at = [], 0
+    for x in found(t).split(",") if found(t) else []:
+        start, end = map(int, x.split(":")[1:])
+        if start >= at:
+            out += [t[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + t[at:]
+
+
+def test_redaction_of_long_texts(spark):
+    rnd = random.Random(31)
+    parts = ["token: abcdefgh\U0001f600", "é" * 700, "AKIA" + "Z" * 20, "0123456789abcdef" * 70, "plain text\n", "secret=short ", "password='" + "ab12" * 9 + "' "]
+    texts = ["".join(rnd.choice(parts) for _ in range(n)) for n in (1, 2, 3, 7, 50, 400, 6000)] + ["x" * 1024 + "token: abcdefgh", "token: " + "a" * 1017, "token: " + "a" * 1018]
+    df = spark.createDataFrame(list(enumerate(texts)), "path long, text string").withColumn("t", F.col("text"))
+    got = secrets_ledger.scan(df, common.shared_path(spark, "t")).select("path", secrets_ledger.joined(F.col("findings")).alias("s"), secrets_ledger.redacted(F.col("t"), F.col("findings")).alias("r")).collect()
+    assert {r["path"]: r["s"] for r in got} == {i: found(t) for i, t in enumerate(texts)}
+    assert {r["path"]: r["r"] for r in got} == {i: plain_redacted(t) for i, t in enumerate(texts)}
+
+
 # 3
 def test_top_k_against_brute_force(spark):
     rnd = np.random.default_rng(2)
@@ -161,7 +181,7 @@ def test_near_duplicates_against_brute_force(spark, docs):
     want = {i: i for i in texts}
     for i in texts:
         for j in texts:
-            if j < i and max(jaccard(texts[i], texts[j]), weighted_jaccard(texts[i], texts[j])) >= 0.8 and want[i] != want[j]:
+            if j < i and max(jaccard(texts[i], texts[j]), tilted_jaccard(texts[i], texts[j])) >= 0.8 and want[i] != want[j]:
                 lo, hi = sorted((want[i], want[j]))
                 want = {k: lo if v == hi else v for k, v in want.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -182,24 +202,27 @@ def test_near_duplicates_go_by_text_not_by_id(spark):
     assert by[0]["group"] == by[1]["group"] and by[2]["group"] == by[3]["group"] and by[4]["group"] == by[5]["group"] and len({r["group"] for r in got}) == 3
 
 
-def weighted_jaccard(a, b):
+def tilted_jaccard(a, b):
     s = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in (x.split() for x in (a, b))]
-    return sum((s[0] & s[1]).values()) / sum((s[0] | s[1]).values()) if s[0] | s[1] else 1.0
+    weight = lambda c: sum(1 + 0.25 * (1 - 1 / n) for n in c.values())
+    return weight(s[0] & s[1]) / weight(s[0] | s[1]) if s[0] | s[1] else 1.0
 
 
-def test_shingles_weigh_as_often_as_they_occur(spark):
-    once, line = " ".join(f"a{i}" for i in range(24)), "p q r s t"
-    rows = ["p q r s t " * 10, "p q r s t " * 20]  # alike as sets only
-    rows += [" ".join([line.replace("p", "z")] * 60 + [f"{x}{i}" for i in range(20)]) for x in "xy"]  # alike by counts only
-    rows += [once + " e1", once + " e2", "other " * 3]
+def test_repeated_shingles_weigh_more(spark):
+    rnd = random.Random(2)
+    line = lambda: text(rnd, 30)
+    shared = [line(), line()]
+    rows = ["p q r s t " * 10, "p q r s t " * 20]  # alike as sets, not by raw counts
+    rows += [" ".join([*shared * 8, text(rnd, 9)]) for _ in "xy"]  # alike by the weights only
+    rows += [" ".join([*[shared[0]] * 90, text(rnd, 200)]) for _ in "xy"]  # one line, very often, and else nothing in common
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     of = lambda **kw: [r["class_id"] for r in dartminhash.classes(df, **kw).orderBy("doc_id").collect()]
-    assert jaccard(*rows[:2]) >= 0.8 > weighted_jaccard(*rows[:2]) and jaccard(*rows[2:4]) < 0.8 <= weighted_jaccard(*rows[2:4])
-    assert of(by_count=False) == [0, 0, 2, 3, 4, 4, 6] and of(by_set=False) == [0, 1, 2, 2, 4, 4, 6] and of() == [0, 0, 2, 2, 4, 4, 6]
+    assert jaccard(*rows[2:4]) < 0.8 <= tilted_jaccard(*rows[2:4]) and tilted_jaccard(*rows[4:6]) < 0.5
+    assert of() == [0, 0, 2, 2, 4, 5] and of(tilt=0.0) == [0, 0, 2, 3, 4, 5]
 
 
 def test_large_buckets_lose_no_link(spark):
-    """A chain: neighbours are near duplicates, ends are not, and all share bands; blocks and rounds of pivots are forced."""
+    """A chain: neighbours are near duplicates, ends are not, and all share bands; small blocks are forced."""
     rnd = random.Random(12)
     words = [f"w{i}" for i in range(400)]
     texts, chain = {}, list(words)
@@ -210,7 +233,7 @@ def test_large_buckets_lose_no_link(spark):
     want = {i: i for i in texts}
     for i in texts:
         for j in texts:
-            if j < i and max(jaccard(texts[i], texts[j]), weighted_jaccard(texts[i], texts[j])) >= 0.8 and want[i] != want[j]:
+            if j < i and max(jaccard(texts[i], texts[j]), tilted_jaccard(texts[i], texts[j])) >= 0.8 and want[i] != want[j]:
                 lo, hi = sorted((want[i], want[j]))
                 want = {k: lo if v == hi else v for k, v in want.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
