@@ -6,13 +6,15 @@ source whose target exceeds its size is read a second time, in the same shuffled
 times and nothing is exploded for the queues.
 
 Queue positions are prefix sums over two levels: a shuffled order is cut into even slices of hash space, the slices'
-sums are accumulated (sources x slices rows), and only the rows of one slice of one source are sorted together. The
-budget cut works likewise over slices of finish time, of which only the boundary slice is resolved row by row. No
-task holds a whole source, however large.
+sums are accumulated (sources x slices rows), and only the rows of one slice of one source are sorted together. All
+copies are then range-sorted by finish time, over the whole mix, into partitions of a bounded number of rows; their sums tell
+which partition the budget ends in, and only that one is accumulated row by row. No task holds a whole source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,10 +26,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET_HALVES = 3
 MAX_PASSES = 2
 SEED = "mix-1"
-#: Rows that one slice of a queue holds on average.
-SLICE_ROWS = 2048
-#: Most slices of a unit of virtual time; later times than four units share the last slice.
-TIME_SLICES = 65536
+#: Rows that one slice of a queue holds at least, on average, and that a partition of the sorted mix does.
+SLICE_ROWS, SORT_ROWS = 2048, 65536
 
 
 def words_in(text: Column) -> Column:
@@ -60,19 +60,22 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves: int
     return s.select("source", "source_size", "ordinal", "weight", target.alias("target"), (F.col("all2").cast("double") / 2.0).alias("budget"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, text -> doc_id, size, source_size, target, copies (0..2) and taken of every row.
+def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS, also: tuple[str, ...] = (), sort_rows: int = SORT_ROWS) -> DataFrame:
+    """doc_id, source, text -> doc_id, source, size, source_size, target, copies (0..2) and taken of every row.
 
     Null texts and texts without words have size 0 and are taken as the queue passes them; a null source is a source
-    of its own, last in order; repeated doc_ids are rows of their own; an empty table gives an empty result. Ties in
-    the shuffle hash fall to doc_id, then size, equal finish times to source, then shuffle order. Columns named in
-    `also` stay, and what is still tied falls to them.
+    of its own, last in order; repeated doc_ids are rows of their own, and rows with a null id are shuffled by their
+    texts; an empty table gives an empty result. Ties in the shuffle hash fall to doc_id, then size, equal finish times to
+    source, then shuffle order. Columns named in `also` stay, and what is still tied falls to them; others are dropped.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", "source", *also, words_in(F.col("text")).cast("long").alias("size"), F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")), 256).alias("key"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.sha2(text.cast("binary"), 256)))
+    d = docs.select("doc_id", "source", *also, words_in(text).cast("long").alias("size"), F.sha2(F.concat_ws(":", F.lit(seed), name), 256).alias("key"))
     d = stored(d, "mix-sizes")  # the texts are read once
     rows = d.count()
-    slices = max(1, -(-rows // slice_rows))
+    # The slices of a source and the rows of a slice both grow with the root of a large table.
+    slices = max(1, -(-rows // max(slice_rows, math.isqrt(rows))))
     d = d.withColumn("slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("long"))
 
     # Queue positions: sums of whole slices before, then the running sum within the slice.
@@ -81,46 +84,46 @@ def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS, also: t
     goals = stored(targets(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size"))), "mix-targets")
     before = W.partitionBy("source").orderBy("slice")
     starts = sums.withColumn("start", F.sum("slice_size").over(before) - F.col("slice_size"))
-    starts = starts.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s.slice", "start", "source_size", "ordinal", "target", "budget")
+    starts = starts.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s.slice", "start", "source_size", "ordinal", "target")
     inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *also).rowsBetween(W.unboundedPreceding, W.currentRow)
     q = d.withColumn("run", F.sum("size").over(inside)).alias("d").join(starts.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.slice") == F.col("t.slice")))
-    q = q.select("doc_id", "d.source", *also, "size", "key", "ordinal", "source_size", "target", "budget", (F.col("start") + F.col("run")).alias("c"))
+    q = q.select("doc_id", "d.source", *also, "size", "key", "ordinal", "source_size", "target", (F.col("start") + F.col("run")).alias("c"))
     finish = lambda c: F.when(F.col("target") > 0, c.cast("double") / F.col("target"))
     q = q.withColumn("f0", finish(F.col("c"))).withColumn("f1", finish(F.col("c") + F.col("source_size")))
     q = stored(q, "mix-queue")
 
-    time_slices = max(256, min(TIME_SLICES, rows // 512))
-    # The cut: slices of finish time in order until the budget, then the boundary slice row by row.
-    copy = lambda f, n: q.select("doc_id", "size", "key", "ordinal", "budget", F.col(f).alias("f"), F.lit(n).alias("nth"))
-    copies = copy("f0", 0).unionByName(copy("f1", 1)).where("f is not null").withColumn("t", F.floor(F.least(F.col("f"), F.lit(4.0)) * time_slices))
-    times = copies.groupBy("t").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
-    cut = times.withColumn("through", F.sum("n").over(W.orderBy("t"))).where(F.col("through") > F.col("budget")).agg(F.min(F.struct("t", (F.col("through") - F.col("n")).alias("taken_before"))).alias("cut")).select(F.col("cut.t").alias("cut_t"), F.col("cut.taken_before").alias("taken_before"))
-    edge = cut.first()  # one row of two numbers
-    cut_t, taken_before = (edge[0], edge[1]) if edge and edge[0] is not None else (None, 0)
-    if cut_t is None:  # nothing exceeds the budget
-        last = None
-    else:
-        ends = copies.where(F.col("t") == cut_t).withColumn("through", F.sum("size").over(W.orderBy("f", "ordinal", "key", "doc_id", "nth").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(taken_before))
-        over = ends.where(F.col("through") > F.col("budget")).agg(F.min(F.struct("f", "ordinal", "key", "doc_id", "nth")).alias("x")).first()
-        last = over["x"]
-    if last is None:
+    # All copies in order of finish: a global range sort, written once with each row's partition and place.
+    order = ["f", "ordinal", "key", "doc_id", *also, "nth"]
+    copy = lambda f, n: q.where(F.col(f).isNotNull()).select("size", "ordinal", "key", "doc_id", *also, F.col(f).alias("f"), F.lit(n).alias("nth"))
+    copies = copy("f0", 0).unionByName(copy("f1", 1))
+    laid = copies.repartitionByRange(max(1, -(-2 * rows // sort_rows)), *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    laid = stored(laid, "mix-sorted")
+    parts = laid.groupBy(F.shiftright("place", 33).alias("part")).agg(F.sum("size").alias("n"))
+    parts = parts.withColumn("through", F.sum("n").over(W.orderBy("part")))  # one row a partition
+    budget = goals.agg(F.max("budget")).first()[0]
+    end = parts.where(F.col("through") > F.lit(budget)).orderBy("part").first()
+    if end is None:  # nothing exceeds the budget
         in_mix = lambda f, n: F.col(f).isNotNull()
     else:
+        part = laid.where((F.col("place") >= end["part"] << 33) & (F.col("place") < end["part"] + 1 << 33))
+        through = F.sum("size").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(end["through"] - end["n"])
+        over = part.withColumn("through", through).where(F.col("through") > F.lit(budget)).orderBy("place").select(*order).first()
         kinds = dict(copies.dtypes)
-        edge_key = F.struct(*[F.lit(last[c]).cast(kinds[c]) for c in ("f", "ordinal", "key", "doc_id", "nth")])
-        in_mix = lambda f, n: F.col(f).isNotNull() & (F.struct(F.col(f), F.col("ordinal"), F.col("key"), F.col("doc_id"), F.lit(n)) < edge_key)
+        cut = F.struct(*[F.lit(over[c]).cast(kinds[c]) for c in order])
+        in_mix = lambda f, n: F.col(f).isNotNull() & (F.struct(F.col(f), *order[1:-1], F.lit(n)) < cut)
     taken = (in_mix("f0", 0).cast("int") + in_mix("f1", 1).cast("int")).alias("copies")
     return q.select("doc_id", "source", *also, "size", "source_size", "target", taken).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its size and what the mix takes of it; nulls, ties and repeats as `mix` says."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         sha256('{SEED}:' || CAST(doc_id AS VARCHAR)) AS key
+         sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || sha256(coalesce(text, '')))) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ordinal, source_size * 2 AS cap FROM s),
