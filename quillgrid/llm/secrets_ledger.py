@@ -8,10 +8,12 @@ findings back to all paths. Copies, however many, are scanned once, and a rerun
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, text_of
+from .common import shared_path, table, text_of, without
 
 _any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -25,6 +27,32 @@ RULES: dict[str, tuple[str, int, int]] = {
 RULE_VERSION = "base-1"
 
 
+#: Elements, or characters, that long arrays and texts are cut into, so that work on them stays linear.
+PART = 1024
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(items: Column, start: Column, step: Callable[[Column, Column], Column], empty: Column) -> Column:
+    """array of what `step(state, item)` yields as `out` for each item in order, where it isn't null; its `at` is the next state.
+
+    A fold that appends copies what it has at every step, so it goes over parts of the array, each with a list of its own.
+    """
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / PART).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * PART + 1, PART))
+
+    def one(acc: Column, x: Column) -> Column:
+        return _let(step(acc["at"], x), lambda y: F.struct(y["at"].alias("at"), F.when(y["out"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(y["out"]))).alias("out")))
+
+    def whole(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), one)
+        return _let(inner, lambda y: F.struct(y["at"].alias("at"), F.concat(acc["out"], F.array(y["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(parts, F.struct(start.alias("at"), F.slice(F.array(empty), 1, 0).alias("out")), whole)["out"])
+
+
 def spans(text: Column, kind: str, order: int, rules: dict[str, tuple[str, int, int]] = RULES) -> Column:
     """array<struct<start, ord, end, kind>> of a kind's findings, in code points.
 
@@ -35,22 +63,19 @@ def spans(text: Column, kind: str, order: int, rules: dict[str, tuple[str, int,
     if whole:  # a run of one class can be asked for its least length at once: the leftmost match takes a run to its end
         pattern = f"{pattern.removesuffix('+')}{{{least - (4 if kind == 'access' else 0)},}}"
     regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string>>)")
-    lengths = F.transform(found, lambda m: F.length(m))
+    lengths = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: F.length(m))
     gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
-    step = F.arrays_zip(gaps.alias("g"), lengths.alias("l"), F.regexp_extract_all(text, regex, F.lit(group)).alias("s"))
-    zipped = F.transform(step, lambda z: F.struct(z["g"].cast("bigint").alias("g"), z["l"].cast("bigint").alias("l"), F.length(z["s"]).alias("n")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    sizes = lengths if whole else F.transform(F.regexp_extract_all(text, regex, F.lit(group)), lambda m: F.length(m))
+    zipped = F.arrays_zip(gaps.alias("g"), lengths.alias("l"), sizes.alias("n"))
+    empty = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string>>)")
 
-    def add(acc: Column, z: Column) -> Column:
-        begin = acc["at"] + z["g"]
-        end = begin + F.coalesce(z["l"], F.lit(0).cast("bigint"))
-        one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind")))
-        wanted = z["l"].isNotNull() & (F.lit(True) if whole else z["n"] >= least)
-        return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, z: Column) -> Column:
+        begin = at + z["g"]
+        end = begin + F.coalesce(z["l"], F.lit(0))
+        found = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"))
+        return F.struct(end.alias("at"), F.when(z["l"].isNotNull() & (z["n"] >= least), found).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, add)["out"]).otherwise(empty)
+    return F.when(text.rlike(pattern), _running(zipped, F.lit(0).cast("bigint"), step, empty)).otherwise(empty)
 
 
 def scan_blobs(blobs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
@@ -63,11 +88,11 @@ def scan(paths: DataFrame, ledger: str, rules: dict[str, tuple[str, int, int]] =
     """Scan what the ledger at this path lacks and return paths' columns but text, with blob and findings.
 
     paths has a text column and any others, such as path and version. A null text is the empty blob; an empty table
-    leaves the ledger as it is; repeated rows each get the findings. Extra columns are carried; their names must not
-    be blob or findings. blobs_only: return the ledger's blobs and findings of this version, unjoined. A ledger has only whole files: Spark's commit makes an append visible when the job ends.
+    leaves the ledger as it is; repeated rows each get the findings. Extra columns are carried; those
+    named blob or findings are replaced. blobs_only: return the ledger's blobs and findings of this version, unjoined. A ledger has only whole files: Spark's commit makes an append visible when the job ends.
     """
     spark = paths.sparkSession
-    named = paths.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
+    named = without(paths, "blob", "findings").withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     schema = "blob string, version string, findings array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(ledger)
@@ -85,19 +110,33 @@ def joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _part(parts: Column, begin: Column, end: Column) -> Column:
+    """Characters begin..end of a text that is cut into parts."""
+    first, last = (begin / PART).cast("int"), (end / PART).cast("int")
+    left, right = (begin % PART).cast("int"), (end % PART).cast("int")
+    at = lambda i: F.coalesce(F.try_element_at(parts, i + 1), F.lit(""))
+    across = F.concat(F.substring(at(first), left + 1, F.lit(PART)), F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(at(last), F.lit(1), right))
+    return F.when(first == last, F.substring(at(first), left + 1, right - left)).otherwise(across)
+
+
 def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """The text with every finding replaced; findings that overlap an earlier one are covered by extending it."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    empty = F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)")
+
+    def step(at: Column, x: Column) -> Column:
+        gap = F.struct(at.alias("begin"), x["start"].alias("end"))
+        return F.struct(F.greatest(at, x["end"]).alias("at"), F.when(x["start"] >= at, gap).alias("out"))
 
-    def cut(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def cut(parts: Column) -> Column:
+        gaps = _running(findings, F.lit(0).cast("bigint"), step, empty)
+        head = F.array_join(F.transform(gaps, lambda g: F.concat(_part(parts, g["begin"], g["end"]), F.lit(mark))), "")
+        return F.concat(head, _part(parts, F.array_max(F.transform(findings, lambda x: x["end"])), F.length(text).cast("bigint")))
 
-    rest = F.aggregate(findings, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(findings) > 0, rest).otherwise(text)
+    return F.when(F.size(findings) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), cut)).otherwise(text)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its secrets, from a ledger that begins empty; a null text has none, repeated rows have theirs each."""
     found = scan(text_of(table(spark, sf_dir, "documents")), shared_path(spark, "ledger"))
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = joined(F.col("findings"))
