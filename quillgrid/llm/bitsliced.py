@@ -204,6 +204,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLO
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every query; vectors that are null or hold null or non-finite components take no part, ties go to the smaller id."""
     rows = quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(rows, rows.where(F.col("id") % 50 == 0)).withColumnRenamed("id", "vec_id").select("query_id", "rank", "vec_id", "score")
 

@@ -27,7 +27,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textkernel as tk
-from .common import table, text_of
+from .common import table, text_of, without
 
 SUFFIX = "</w>"
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -447,13 +447,16 @@ def _digests(v: Bpe, ids: pa.ListArray) -> list[pa.Array]:
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with n_tokens long and ids array<int> in place of the text column; a null text is the empty one.
 
-    path: a tokenizer file of byte-level BPE with word ends. Extra columns stay; columns named n_tokens or ids must not exist.
+    path: a tokenizer file of byte-level BPE with word ends. Extra columns stay; columns named n_tokens or ids are replaced.
+    Rows are independent: ids and texts may repeat, and an empty table gives an empty result.
     """
+    docs = without(docs, "n_tokens", "ids")
     return _mapped(docs, path, text_col, "n_tokens long, ids array<int>", lambda _, ids: [ids.value_lengths().cast(pa.int64()), ids])
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with decoded string, what their ids decode to; null ids give null. A column named decoded must not exist."""
+    """docs with decoded string, what their ids decode to; null ids give null. A column named decoded is replaced."""
+    docs = without(docs, "decoded")
     shipped = _shipped(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,9 +476,11 @@ def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
 
 
 def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 in place of the text column: what encode gives and what those ids decode to, hashed."""
+    """docs with n_tokens, ids_sha256 and decoded_sha256 in place of the text column: what encode gives and what those ids decode to, hashed; columns of these names are replaced."""
+    docs = without(docs, "n_tokens", "ids_sha256", "decoded_sha256")
     return _mapped(docs, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its number of tokens and the digests of its ids and of what they decode to; a null text is empty."""
     return digests(text_of(table(spark, sf_dir, "documents")))

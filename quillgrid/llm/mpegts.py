@@ -331,6 +331,7 @@ def _digest(text: bytes) -> tuple:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents through a stored transport stream: digests of what is read back; a null text is empty, equal texts give equal values."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
         for batch in batches:

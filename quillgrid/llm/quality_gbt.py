@@ -163,17 +163,21 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return Forest(base, np.array(features), np.array(cuts), np.array(leaves))
 
 
-def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with a column score double, computed a batch at a time, after its other columns; the text goes unless kept."""
-    names = [f.name for f in docs.schema.fields if keep_text or f.name != text_col]
+def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], text_col: str = "text", keep_text: bool = False, to: str = "score") -> DataFrame:
+    """docs with a column of scores, double, computed a batch at a time, after its other columns; the text goes unless kept.
+
+    A column that is named like the scores is replaced.
+    """
+    names = [f.name for f in docs.schema.fields if (keep_text or f.name != text_col) and f.name.lower() != to.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = score(batch.column(batch.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(got, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(got, pa.float64())], names=[*names, to])
+        tk.release()
 
-    kept = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(run, f"{kept}, score double")
+    kept = "".join(f"`{n}` {docs.schema[n].dataType.simpleString()}, " for n in names)
+    return docs.mapInArrow(run, f"{kept}`{to}` double")
 
 
 def fold(column: str, of: int) -> Column:
@@ -199,13 +203,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return fit(x, got["y"].to_numpy(np.float64))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs with a column score: likelihood of quality, learnt outside the held-out fold. Null texts are empty ones."""
+def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = False, to: str = "score") -> DataFrame:
+    """docs with a column of scores: likelihood of quality, learnt outside the held-out fold.
+
+    Null texts are empty ones and have a score too; equal texts have equal scores; a column named like the scores is replaced.
+    Without labels of both kinds, all scores are the base rate.
+    """
     forest = train(docs, labels.where(fold("doc_id", 5) != 0))
-    return scored(docs, lambda column: forest.scores(statistics(column)), keep_text=keep_text)
+    return scored(docs, lambda column: forest.scores(statistics(column)), keep_text=keep_text, to=to)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score, whether it is held out, and the prediction; nulls and ties as `classify` says."""
     docs = text_of(table(spark, sf_dir, "documents"))
     got = classify(docs, table(spark, sf_dir, "labels"))
     return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

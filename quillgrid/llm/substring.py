@@ -212,6 +212,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFr
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its words counted, those removed, and a digest of the rest; a null text has no words, of rows with one id none is smaller."""
     return dedup(text_of(table(spark, sf_dir, "documents")), digest=True)
 
 

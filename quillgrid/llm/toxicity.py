@@ -156,5 +156,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score, whether it is held out, and the prediction; a null text is empty, equal texts have equal scores."""
     got = classify(text_of(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
