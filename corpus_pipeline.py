@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import bpe_trie, dartminhash, mixing, quality_gbt, secrets_ledger
-from quillgrid.llm.common import shared_path, stored, table
+from quillgrid.llm.common import fresh, row_hashes, shared_path, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scored = quality_gbt.classify(docs, table(spark, sf_dir, "labels"), keep_text=True)
-    return scored.where(F.col("score") >= quality_gbt.THRESHOLD).drop("score")
+    """Documents that the classifier rejects go. A null text is scored as the empty one; ids may be null or repeat."""
+    (score,) = fresh(docs, "score")
+    scored = quality_gbt.classify(docs, table(spark, sf_dir, "labels"), keep_text=True, to=score)
+    return scored.where(F.col(score) >= quality_gbt.THRESHOLD).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,42 +25,41 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal, the hash of the words and then that of the row decide. Rows with neither id nor text have nothing to compare
     and stay.
     """
-    cells = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
-    rows = docs.withColumn("r1", F.xxhash64(F.lit(1), *cells)).withColumn("r2", F.xxhash64(F.lit(2), *cells))
+    r1, r2 = fresh(docs, "r1", "r2")
+    rows = docs.withColumns(dict(zip((r1, r2), row_hashes(docs), strict=True)))
     blank = F.col("doc_id").isNull() & F.col("text").isNull()
-    named = dartminhash.grouped(rows.where(~blank).select("doc_id", "text", "r1", "r2"))
+    told = rows.where(~blank).select("doc_id", "text", F.col(r1).alias("r1"), F.col(r2).alias("r2"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "c1", "c2", "r1", "r2")).alias("first")
-    stay = named.groupBy("group").agg(first).select("first.r1", "first.r2")
-    kept = rows.where(~blank).join(stay, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    stay = dartminhash.grouped(told).groupBy("group").agg(first).select(F.col("first.r1").alias(r1), F.col("first.r2").alias(r2))
+    kept = rows.where(~blank).join(stay, [r1, r2], "left_semi").dropDuplicates([r1, r2])
     return kept.select(docs.columns).unionByName(docs.where(blank))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay, with n_chars of the new text."""
-    found = secrets_ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"), shared_path(spark, "ledger"), blobs_only=True)
-    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    both = docs.withColumn("blob", blob).join(found.where(F.size("findings") > 0), "blob", "left")
-    text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(secrets_ledger.redacted(F.col("text"), F.col("findings")))
-    return both.withColumn("text", text).withColumn("n_chars", F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
+    """Secrets are replaced by a mark; all documents stay, with n_chars of the new text. Null texts stay null."""
+    blob, findings = fresh(docs, "blob", "findings")
+    found = secrets_ledger.scan(docs.select("text"), shared_path(spark, "ledger"), blobs_only=True).where(F.size("findings") > 0)
+    both = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(found.withColumnsRenamed({"blob": blob, "findings": findings}), blob, "left")
+    cut = F.when(F.col(findings).isNull(), F.col("text")).otherwise(secrets_ledger.redacted(F.col("text"), F.col(findings)))
+    size = F.when(F.col(findings).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return both.withColumn("text", cut).withColumn("n_chars", size).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
 
-    Documents are told apart by id, source and text; such that are alike come as often as the one of them that the mix
-    takes most.
+    Rows that are alike in every column come as often as the mix takes them together; ids may be null or repeat.
     """
-    nameless = F.concat(F.lit("null-"), F.sha2(F.to_json(F.struct("source", "text")).cast("binary"), 256))
-    told = F.xxhash64(F.col("source").isNull(), "source", F.col("text").isNull(), "text")
-    keyed = docs.withColumn("mix_key", F.coalesce(F.col("doc_id").cast("string"), nameless)).withColumn("mix_text", told)
-    copies = mixing.mix(keyed.select(F.col("mix_key").alias("doc_id"), "source", "text", "mix_text"), also=("mix_text",)).where(F.col("copies") > 0)
-    copies = copies.groupBy(F.col("doc_id").alias("mix_key"), "mix_text").agg(F.max("copies").alias("copies"))
-    both = keyed.join(copies, ["mix_key", "mix_text"])
-    return both.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    r1, r2, copies = fresh(docs, "r1", "r2", "copies")
+    rows = docs.withColumns(dict(zip((r1, r2), row_hashes(docs), strict=True)))
+    mixed = mixing.mix(rows.select("doc_id", "source", "text", F.col(r1).alias("r1"), F.col(r2).alias("r2")), also=("r1", "r2")).where(F.col("copies") > 0)
+    taken = mixed.groupBy(F.col("r1").alias(r1), F.col("r2").alias(r2)).agg(F.sum("copies").cast("int").alias(copies))
+    both = rows.dropDuplicates([r1, r2]).join(taken, [r1, r2])
+    return both.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of every document, and decoded_sha256 of what these ids decode to."""
+    """doc_id, source, n_tokens and ids of every row, and decoded_sha256 of what these ids decode to; a null text has no ids."""
     both = bpe_trie.decode(bpe_trie.encode(docs.select("doc_id", "source", "text")))
     return both.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
