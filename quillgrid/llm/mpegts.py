@@ -12,15 +12,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import stored, table, text_of
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, NULL_PID = 0x0000, 0x1000, 0x0100, 0x1FFF
@@ -280,24 +278,33 @@ def feature(s: Stream) -> str:
 
 INDEX_SCHEMA = (
     "packets long, resyncs long, duplicates long, continuity_errors long, table_errors long, programs array<struct<number:int,map_pid:int>>, "
-    "streams array<struct<pid:int,program:int,kind:int>>, pes array<struct<pid:int,stream_id:int,packet:int,pts:bigint,dts:bigint,random_access:boolean,bytes:int,complete:boolean>>, feature string"
+    "streams array<struct<pid:int,program:int,kind:int>>, pes array<struct<pid:int,stream_id:int,packet:int,pts:bigint,dts:bigint,random_access:boolean,bytes:int,complete:boolean>>, "
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 )
 
 
 def index_row(data: bytes) -> dict:
+    """What a stream holds: its index, and digests of the payload that its elementary packets carry and of the stream."""
     s = parse(data)
+    payload = hashlib.sha256()
+    tail, size = b"", 0
+    for p in s.pes:
+        payload.update(p.data)
+        tail, size = (tail + p.data[-ALIGN:])[-ALIGN:], size + len(p.data)
     return {
         "packets": s.packets, "resyncs": s.resyncs, "duplicates": s.duplicates, "continuity_errors": s.continuity_errors, "table_errors": s.table_errors,
         "programs": [{"number": n, "map_pid": p} for n, p in sorted(s.programs.items())],
         "streams": [{"pid": p, "program": n, "kind": k} for p, (n, k) in sorted(s.streams.items())],
         "pes": [{"pid": p.pid, "stream_id": p.stream_id, "packet": p.packet, "pts": p.pts, "dts": p.dts, "random_access": p.random_access, "bytes": len(p.data), "complete": p.complete} for p in s.pes],
+        "payload_bytes": size, "payload_sha256": payload.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(),
         "feature": feature(s),
     }
 
 
 def index_streams(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df's columns and `ts`, the index of its media column: tables, continuity, and every elementary packet's time stamps and
-    random-access flag. A null stream has a null index, an empty one an index of no packets. A column named ts is replaced."""
+    """df's columns and `ts`, the index of its media column: tables, continuity, every elementary packet's time stamps and
+    random-access flag, and digests. A null stream has a null index, an empty one an index of no packets. A column named
+    ts is replaced; rows are independent, so they may repeat."""
 
     @F.udf(returnType=INDEX_SCHEMA, useArrow=True)
     def index(data):
@@ -311,7 +318,8 @@ def padded(payload: bytes) -> bytes:
 
 
 def store(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """df's columns with the padded UTF-8 of a text column stored as a transport stream in a binary one; null is the empty text."""
+    """df's columns with the padded UTF-8 of a text column stored as a transport stream in a binary one; null is the empty
+    text. A column named like the binary one is replaced."""
 
     @F.udf(returnType="binary", useArrow=True)
     def media(text):
@@ -320,24 +328,13 @@ def store(df: DataFrame, text_col: str = "text", media_col: str = "media") -> Da
     return df.withColumn(media_col, media(F.col(text_col)))
 
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def _digest(text: bytes) -> tuple:
-    media = mux(padded(text))
-    s = parse(media)  # from here on, only the stored bytes count
-    back = b"".join(p.data for p in s.pes)
-    return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)
-
-
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of documents through a stored transport stream: digests of what is read back; a null text is empty, equal texts give equal values."""
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
-        for batch in batches:
-            rows = [_digest(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
-            cols = [batch.column(0), *(zip(*rows, strict=True) if rows else [()] * 7)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return text_of(table(spark, sf_dir, "documents")).mapInArrow(digest, DIGEST_SCHEMA)
+    """Every row of documents through a stored transport stream: digests and time stamps of what its index reads back; a null
+    text is empty, equal texts give equal values, repeated rows are rows of the result."""
+    docs = text_of(table(spark, sf_dir, "documents"))
+    media = store(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")).drop("text")
+    kept = stored(media, "media", compression="zstd")  # from here on, only the stored bytes count
+    digests = [F.col(f"ts.{n}") for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets", "continuity_errors")]
+    access = F.filter("ts.pes", lambda p: p["random_access"])
+    stamps = F.size("ts.pes").cast("long").alias("units"), F.element_at("ts.pes", -1)["pts"].alias("last_pts"), F.transform(access, lambda p: p["pts"]).alias("random_access_pts")
+    return index_streams(kept).select("doc_id", "n_bytes", *digests, *stamps)

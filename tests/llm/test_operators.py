@@ -76,6 +76,61 @@ def test_transport_stream_columns(spark, docs):
     assert mpegts.index_streams(docs.select(F.lit(None).cast("binary").alias("media"))).where("ts is null").count() == docs.count()
 
 
+def plain_stream(media):
+    """A parser of its own: one packet after another, by the bits of the standard."""
+    units, counters, tables = [], {}, set()
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert p[0] == 0x47 and not p[1] & 0x80 and not p[3] & 0xC0
+        pid, start, control, counter = (p[1] & 0x1F) << 8 | p[2], bool(p[1] & 0x40), p[3] >> 4 & 3, p[3] & 15
+        assert control & 1 and counter == (counters.get(pid, counter - 1) + 1) % 16
+        counters[pid] = counter
+        body, access = p[4:], False
+        if control & 2:
+            access = body[0] > 0 and bool(body[1] & 0x40)
+            body = body[1 + body[0] :]
+        if pid != 0x100:
+            section = body[1 + body[0] :]
+            section = section[: 3 + ((section[1] & 15) << 8 | section[2])]
+            crc = 0xFFFFFFFF
+            for x in section[:-4]:
+                for bit in range(7, -1, -1):
+                    crc = (crc << 1 ^ (0x04C11DB7 if (crc >> 31) ^ (x >> bit & 1) else 0)) & 0xFFFFFFFF
+            assert crc == int.from_bytes(section[-4:], "big")
+            tables.add((pid, section[0], section[8:-4].hex()))
+        elif start:
+            assert body[:4] == b"\0\0\1\xbd" and body[7] == 0x80
+            stamp = int.from_bytes(body[9:14], "big")
+            units.append([(stamp >> 33 & 7) << 30 | (stamp >> 17 & 0x7FFF) << 15 | stamp >> 1 & 0x7FFF, access, body[4] << 8 | body[5], body[6:]])
+        else:
+            units[-1][3] += body
+    for pts, access, length, body in units:
+        assert len(body) == length
+    return [(pts, access, body[3 + body[2] :]) for pts, access, _, body in units], tables
+
+
+def test_transport_stream_query_against_a_parser_of_its_own(spark, sf):
+    got = {r["doc_id"]: r for r in registry.QUERIES["op1_transport_stream"](spark, sf).collect()}
+    docs = common.table(spark, sf, "documents").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        raw = (r["text"] or "").encode()
+        payload = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        media = mpegts.mux(payload)
+        units, tables = plain_stream(media)
+        assert b"".join(u[2] for u in units) == payload and {t[:2] for t in tables} == {(0, 0), (0x1000, 2)}
+        x = got[r["doc_id"]]
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"], x["media_bytes"], x["media_sha256"]) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]), len(media), sha(media))
+        assert (x["packets"], x["continuity_errors"], x["units"], x["last_pts"], x["random_access_pts"]) == (len(media) // 188, 0, len(units), units[-1][0], [p for p, a, _ in units if a])
+        assert [p for p, _, _ in units] == [3600 * i for i in range(len(units))] and [a for _, a, _ in units] == [i % 8 == 0 for i in range(len(units))]
+
+
+def test_transport_stream_columns_of_an_empty_table(spark, docs):
+    none = mpegts.index_streams(mpegts.store(docs.limit(0).withColumn("media", F.lit(1)).withColumn("ts", F.lit(1))))
+    assert none.count() == 0 and none.columns.count("ts") == none.columns.count("media") == 1
+
+
 # 2
 def found(t):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
