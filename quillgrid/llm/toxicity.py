@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams, their features scaled by naive Bayes log-count ratios.
 
 A feature is the presence of an n-gram (3 to 5 lower-cased characters, hashed) times the log ratio of its smoothed
-share among toxic and other training texts; a ridge logistic regression weighs the features. N-grams whose ratio lies
-within Z_LEAST standard errors of zero have no feature, which leaves few to sort out in each text: most are passed
-over by one look into a table.
+share among toxic and other training texts; a ridge logistic regression weighs the features. Only n-grams whose presence
+depends on the label, by a likelihood-ratio test, have a feature, which leaves few to sort out in each text: most are passed
+over by one look into a table. Executors count n-grams and list texts' features; the driver gets counts of buckets and
+lists of features, never a text.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import table, text_of
+from .common import stored, table, text_of
 from .quality_gbt import fold, scored
 
-#: Labelled texts of each class that a fit uses at most, those with the smallest hashes of their ids, and their longest.
-FIT_ROWS, FIT_BYTES = 3000, 100_000
+#: Labelled ids of each class that a fit uses at most: those with the smallest hashes.
+FIT_ROWS = 3000
 THRESHOLD = 0.3
 ORDERS = (3, 4, 5)
 BITS = 20
-Z_LEAST = 4.0
-RIDGE, STEPS = 0.02, 400
+#: The least likelihood-ratio statistic of a feature (one in a thousand by chance), and the ridge: the best log loss over
+#: four folds of the training rows, among statistics of 8 to 40 and ridges of 0.02 to 1.5.
+G_LEAST, RIDGE, STEPS = 10.83, 0.5, 400
+#: Bytes of a text whose n-grams are held at once.
+SPAN_BYTES = 4 << 20
 _PRIME = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,18 +64,30 @@ def grams(b: tk.Block) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             yield ((h + np.uint64(n)) * _SPREAD >> np.uint64(64 - BITS)).astype(np.int64), off, n
 
 
+def _spans(b: tk.Block) -> Iterator[tk.Block]:
+    """A block of one long text as blocks that overlap by what an n-gram needs, so that none is lost; another block as it is."""
+    if b.n != 1 or len(b.data) <= SPAN_BYTES:
+        yield b
+        return
+    lead = lambda i: int(i) - next((k for k in range(4) if i - k <= 0 or (i - k < len(b.data) and b.data[i - k] & 0xC0 != 0x80)), 0)
+    for lo in range(0, len(b.data), SPAN_BYTES):
+        lo, hi = lead(lo), min(len(b.data), lo + SPAN_BYTES + 4 * max(ORDERS))  # noqa: PLW2901
+        hi = hi if hi == len(b.data) else lead(hi)
+        yield tk.Block(b.data[lo:hi], np.array([0, hi - lo]), b.lo, b.hi)
+
+
 def present(b: tk.Block, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and buckets of the distinct n-grams of a block's rows, of all buckets or those `wanted`; none crosses rows."""
-    keys = [np.zeros(0, dtype=np.int64)]
-    for bucket, off, n in grams(b):
-        if wanted is None:
-            at = np.arange(len(bucket))
-        else:
-            at = np.flatnonzero(wanted[bucket])
-        row = np.searchsorted(off, at, side="right") - 1
-        inside = at + n <= off[row + 1]
-        keys.append(row[inside] << BITS | bucket[at[inside]])
-    key = np.unique(np.concatenate(keys))
+    parts = []
+    for part in _spans(b):
+        keys = [np.zeros(0, dtype=np.int64)]
+        for bucket, off, n in grams(part):
+            at = np.arange(len(bucket)) if wanted is None else np.flatnonzero(wanted[bucket])
+            row = np.searchsorted(off, at, side="right") - 1
+            inside = at + n <= off[row + 1]
+            keys.append(row[inside] << BITS | bucket[at[inside]])
+        parts.append(np.unique(np.concatenate(keys)))
+    key = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
@@ -94,38 +110,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -500, 500)))
 
 
-def fit(column: pa.Array, y: np.ndarray, prior: float) -> Model:
-    """Fit on texts with labels y; prior is the share of label 1 that scores are calibrated to."""
-    size = 1 << BITS
-    prior = min(max(prior, 1e-4), 1 - 1e-4)
-    none = Model(float(np.log(prior / (1 - prior))), np.zeros(size))
-    if not len(y) or y.min() == y.max():
-        return none
-    n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=np.float64)
-    count = np.zeros((2, size))
-    for b in tk.blocks(column):
-        row, bucket = present(b)
-        toxic = y[b.lo + row] == 1
-        count[1] += np.bincount(bucket[toxic], minlength=size)
-        count[0] += np.bincount(bucket[~toxic], minlength=size)
+def dependence(count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The likelihood-ratio statistic of presence and label; count: texts of either label with the n-gram, n: all texts of either."""
+    share = count.sum(axis=0) / n.sum()
+    total = np.zeros(count.shape[1])
+    for y in (0, 1):
+        for seen, expected in ((count[y], n[y] * share), (n[y] - count[y], n[y] * (1 - share))):
+            total += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0)
+    return 2 * total
+
+
+def ratios(count: np.ndarray, n: np.ndarray, least: float = G_LEAST) -> np.ndarray:
+    """Naive Bayes log-count ratios of the buckets that have a feature, 0 of others."""
     share = (count + 1) / (n[:, None] + 2)
-    ratio = np.log(share[1] / share[0])
-    error = np.sqrt(1 / (count[1] + 1) + 1 / (count[0] + 1))
-    ratio[np.abs(ratio) < Z_LEAST * error] = 0
+    return np.where(dependence(count, n) >= least, np.log(share[1] / share[0]), 0.0)
+
+
+def fit(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float) -> Model:
+    """Weigh features: lists has the buckets with a feature of each text, y the texts' labels, ratio that of all buckets; prior
+    is the share of label 1 that scores are calibrated to."""
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
+    bias = float(np.log(prior / (1 - prior)))
     wanted = ratio != 0
-    if not wanted.any():
-        return none
+    if not len(y) or y.min() == y.max() or not wanted.any():
+        return Model(bias, np.zeros(len(ratio)))
+    n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=np.float64)
     number = np.cumsum(wanted) - 1
-    rows, cols = [], []
-    for b in tk.blocks(column):
-        row, bucket = present(b, wanted)
-        rows.append((row + b.lo).astype(np.int32))
-        cols.append(number[bucket].astype(np.int32))
-    r, c = np.concatenate(rows), np.concatenate(cols)
+    r = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in lists])
+    c = number[np.concatenate(lists)].astype(np.int32)
     v = ratio[wanted][c].astype(np.float32)
-    w, bias = np.zeros(int(wanted.sum())), 0.0
+    w = np.zeros(int(wanted.sum()))
     weight = np.where(y == 1, prior / n[1], (1 - prior) / n[0])  # rows weigh as in the population
-    bias = float(np.log(prior / (1 - prior)))
     m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):  # Adam: deterministic, no step size to fit
         z = np.bincount(r, v * w[c], len(y)) + bias
@@ -134,23 +149,70 @@ def fit(column: pa.Array, y: np.ndarray, prior: float) -> Model:
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - float(step[-1])
-    dense = np.zeros(size)
+    dense = np.zeros(len(ratio))
     dense[wanted] = w * ratio[wanted]
     return Model(bias, dense)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longest: int = FIT_BYTES) -> Model:
-    """Fit on at most `rows` labelled texts of each class, of at most `longest` bytes each; the prior is of all labels."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Fit on the texts of at most `rows` labelled ids of each class; the prior is of all labels. Null labels and ids don't count,
+    a null text is empty, and an id's texts each count."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pick = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(pick(0).unionByName(pick(1))), "doc_id").where(F.octet_length("text") <= longest)
-    got = sample.orderBy("doc_id", "text").select("y", "text").toArrow()
-    return fit(got.column("text"), got.column("y").to_numpy().astype(np.float64), totals.get(1, 0) / max(1, sum(totals.values())))
+    sample = docs.select("doc_id", "text").join(F.broadcast(pick(0).unionByName(pick(1))), "doc_id")  # ids are few by their bound
+    sample = stored(sample.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
+    size = 1 << BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((2, size), dtype=np.int64)
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            for b in tk.blocks(batch.column(1)):
+                row, bucket = present(b)
+                for label in (0, 1):
+                    count[label] += np.bincount(bucket[y[b.lo + row] == label], minlength=size)
+        at = np.flatnonzero(count.any(axis=0))
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[0, part]), pa.array(count[1, part])], names=["bucket", "n0", "n1"])
+
+    n = np.zeros(2)
+    for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect():
+        n[r["y"]] = r["n"]
+    prior = totals.get(1, 0) / max(1, sum(totals.values()))
+    if not n.all():
+        return fit([], np.zeros(0), np.zeros(size), prior)
+    # A bucket of fewer texts than any feature needs is not sent: a text adds some 2 * ln(all / rarer class) to the statistic.
+    rare = G_LEAST / (4 * float(np.log(n.sum() / n.min())))
+    parts = sample.select("y", "text").mapInArrow(counted, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    got = parts.where(F.col("n0") + F.col("n1") >= F.lit(rare)).toArrow()
+    count = np.zeros((2, size))
+    for y in (0, 1):
+        count[y, got.column("bucket").to_numpy()] = got.column(f"n{y}").to_numpy()
+    ratio = ratios(count, n)
+    wanted = np.packbits(ratio != 0)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(wanted, count=size).astype(bool)
+        for batch in batches:
+            for b in tk.blocks(batch.column(2)):
+                row, bucket = present(b, mask)
+                first = np.searchsorted(row, np.arange(b.n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(first), pa.array(bucket.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.n), batch.column(1).slice(b.lo, b.n), lists], names=["doc_id", "y", "buckets"])
+
+    rows_ = sample.mapInArrow(listed, "doc_id long, y int, buckets array<int>").orderBy("doc_id", "buckets").toArrow()
+    flat = rows_.column("buckets").combine_chunks()
+    return fit([np.asarray(x.values, dtype=np.int64) for x in flat], rows_.column("y").to_numpy().astype(np.float64), ratio, prior)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with a column score in place of the text: likelihood of toxicity, learnt outside the held-out fold. Null texts are empty ones."""
+    """docs with a column score in place of the text: likelihood of toxicity, learnt outside the held-out fold.
+
+    Null texts are empty ones and have a score too; equal texts have equal scores; a column named score is replaced. Without
+    labels of both kinds, all scores are the base rate.
+    """
     model = train(docs, labels.where(fold("doc_id", 4) != 2))
     return scored(docs, model.scores)
 

@@ -377,7 +377,110 @@ def test_classifiers_without_labels_and_on_odd_texts(spark, docs):
     for labels in (none, some):
         for got in (quality_gbt.classify(d, labels).collect(), toxicity.classify(d, labels).collect()):
             assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert quality_gbt.classify(d.limit(0), none).count() == 0
+    for classify in (quality_gbt.classify, toxicity.classify):
+        assert classify(d.limit(0), none).count() == 0
+        clash = classify(d.withColumn("score", F.lit("own")).withColumn("Y", F.lit(1)), some)
+        assert clash.columns.count("score") == 1 and clash.count() == docs.count() and dict(clash.dtypes)["score"] == "double"
+
+
+def plain_buckets(t):
+    low = [ord(" ") if c.isspace() else ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in t]
+    out = set()
+    for i in range(len(low)):
+        h = 0
+        for n in range(1, min(5, len(low) - i) + 1):
+            h = (h * 0x100000001B3 + low[i + n - 1] + 1) % 2**64
+            if n >= 3:
+                out.add((h + n) * 0x9E3779B97F4A7C15 % 2**64 >> 44)
+    return out
+
+
+def test_toxicity_against_plain_python(spark, monkeypatch):
+    rnd = random.Random(17)
+    bad, good = ["idiot", "trash", "ÜBEL"], ["Süden", "river", "stone", "Ⅷ"]
+    rows = [(i, " ".join(rnd.choice(good + bad if i % 3 == 0 else good) for _ in range(rnd.randint(1, 12)))) for i in range(150)] + [(150, None), (151, "")]
+    labels = [(i, int(any(w in (t or "") for w in bad))) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "SPAN_BYTES", 40)  # most texts are cut into spans
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs.repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    train = [(plain_buckets(t or ""), y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = [sum(y == k for _, y in train) for k in (0, 1)]
+    ratio = {}
+    for k in set().union(*(b for b, _ in train)):
+        seen = [sum(k in b for b, y in train if y == c) for c in (0, 1)]
+        g, share = 0.0, sum(seen) / len(train)
+        for c in (0, 1):
+            for o, e in ((seen[c], n[c] * share), (n[c] - seen[c], n[c] * (1 - share))):
+                g += 2 * o * np.log(o / e) if o else 0
+        if g >= 10.83:
+            ratio[k] = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
+    kept = sorted(ratio)
+    assert len(kept) > 10
+    # The same loss, minimised by plain gradient steps over dense features.
+    x = np.array([[ratio[k] * (k in b) for k in kept] for b, _ in train])
+    y = np.array([y for _, y in train], float)
+    prior = y.mean()
+    weight = np.where(y == 1, prior / n[1], (1 - prior) / n[0])
+    w, bias, m, s = np.zeros(len(kept)), np.log(prior / (1 - prior)), 0, 0
+    for t in range(1, toxicity.STEPS + 1):
+        d = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        grad = np.append(x.T @ d + toxicity.RIDGE * w / len(w), d.sum())
+        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
+        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    for i, t in rows:
+        b = plain_buckets(t or "")
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(bias + sum(w[j] * ratio[k] for j, k in enumerate(kept) if k in b)))), abs=2e-3)
+
+
+def plain_statistics(t):
+    raw = t.encode()
+    words = raw.replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\r", b" ").replace(b"\x0b", b" ").replace(b"\x0c", b" ").split(b" ")
+    words = [w for w in words if w]
+    n, size = max(len(words), 1), max(len(raw), 1)
+    classes = {k: sum(c in set(v) for c in raw) for k, v in quality_gbt._CLASSES.items()}
+    count = Counter(words)
+    return [classes[k] / size for k in quality_gbt._CLASSES] + [
+        np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / n, np.log1p(max(map(len, words), default=0)), len(count) / n, sum(a == b for a, b in zip(words, words[1:])) / n, max(count.values(), default=0) / n,
+        sum(65 <= w[0] <= 90 for w in words) / n, sum(w[-1:] in b"#$%&*+<=>@\\^_`{|}~" for w in words) / n, np.log1p(len(words) / (classes["stop"] + 1)), np.log1p(len(words) / (classes["newline"] + 1)), classes["upper"] / max(classes["upper"] + classes["lower"], 1),
+    ]
+
+
+def test_quality_against_plain_python(spark, sf):
+    rows = [(r["doc_id"], r["text"] or "") for r in common.table(spark, sf, "documents").collect()] + [(10**6, ""), (10**6 + 1, " \t"), (10**6 + 2, "A A a!\n\x0bé #x")]
+    x = quality_gbt.statistics(pa.array([t for _, t in rows]))
+    assert np.allclose(x, [plain_statistics(t) for _, t in rows])
+    y = np.array([r["quality"] if r["quality"] is not None else -1 for r in [*common.table(spark, sf, "labels").collect()]])
+    label = dict(zip([r["doc_id"] for r in common.table(spark, sf, "labels").collect()], y.tolist(), strict=True))
+    on = [k for k, (i, _) in enumerate(rows) if label.get(i, -1) >= 0 and zlib.crc32(str(i).encode()) % 5]
+    forest = quality_gbt.fit(x[on], np.array([label[rows[k][0]] for k in on], float))
+    got = {r["doc_id"]: r["score"] for r in quality_gbt.classify(common.text_of(common.table(spark, sf, "documents")), common.table(spark, sf, "labels")).collect()}
+    for (i, _), v in zip(rows, x, strict=True):
+        margin = forest.base
+        for f, c, leaf in zip(forest.feature, forest.cut, forest.leaf, strict=True):  # one node after another
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if v[f[at]] > c[at] else 1)
+            margin += leaf[at - len(f)]
+        assert i >= 10**6 or got[i] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_the_first_split_is_the_best_one():
+    rnd = np.random.default_rng(3)
+    x, y = rnd.integers(0, 12, (300, 3)).astype(float), rnd.integers(0, 2, 300).astype(float)
+    y[x[:, 1] > 6] = 1
+    f = quality_gbt.fit(x, y, trees=1, depth=1, rate=1.0)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    gain = {}
+    for j in range(3):
+        for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])):
+            left = x[:, j] <= c
+            if min(h[left].sum(), h[~left].sum()) >= quality_gbt.LEAST_WEIGHT:
+                gain[j, c] = sum(g[m].sum() ** 2 / (h[m].sum() + quality_gbt.RIDGE) for m in (left, ~left))
+    assert (f.feature[0, 0], f.cut[0, 0]) == max(gain, key=gain.get)
+    left = x[:, f.feature[0, 0]] <= f.cut[0, 0]
+    assert f.leaf[0] == pytest.approx([-g[m].sum() / (h[m].sum() + quality_gbt.RIDGE) for m in (left, ~left)])
 
 
 def test_forest_fits_and_flattens():
