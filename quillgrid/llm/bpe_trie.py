@@ -37,9 +37,9 @@ _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Words that a worker remembers, words that one trie holds, and pairs of tokens judged.
-REMEMBERED, TRIE_WORDS, PAIRS = 400_000, 30_000, 250_000
-#: Characters of text whose pieces are learnt together, of results that are sent together, and of text cut at once.
-LEARN_CHARS, SEND_CHARS, CUT_CHARS = 8_000_000, 1_000_000, 1_000_000
+REMEMBERED, TRIE_WORDS, PAIRS = 200_000, 20_000, 100_000
+#: Bytes of text whose pieces are learnt together; characters whose results are sent together, and of text cut at once.
+LEARN_BYTES, SEND_CHARS, CUT_CHARS = 5_000_000, 1_000_000, 1_000_000
 #: Tokens that are decoded together.
 DECODE_TOKENS = 1_000_000
 
@@ -318,7 +318,7 @@ class Bpe:
             return Ragged(np.zeros(0, np.int64), np.zeros(0, np.int32))
         found = self._words(pieces)
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.known, self.flat, self.sizes = _Numbers({"\n": 0}), np.zeros(0, np.int32), np.zeros(1, np.int32)
         distinct = set(found)
         distinct.discard("\n")
         special = {w for w in distinct if isinstance(w, int)}
@@ -336,6 +336,8 @@ class Bpe:
 
     def forget(self) -> None:
         """Free what only speeds things up."""
+        self.pairs.clear()
+        self.edges.clear()
         self.known = _Numbers({"\n": 0})
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int32)
 
@@ -372,11 +374,10 @@ def bpe(raw: str) -> Bpe:
     return _loaded[key]
 
 
-def _groups(texts: list[str], most: int, lo: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of a bounded number of characters; a longer text is a run of its own."""
-    end = len(texts) if end is None else end
-    n = 0
-    for i in range(lo, end):
+    lo, end, n = 0, len(texts), 0
+    for i in range(end):
         if i > lo and n + len(texts[i]) > most:
             yield lo, i
             lo, n = i, 0
@@ -406,17 +407,19 @@ def _cut(v: Bpe, text: str, numbers: _Numbers) -> np.ndarray:
     return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.int32), *out])
 
 
-def _encoded(v: Bpe, texts: list[str]) -> Iterator[tuple[int, int, pa.ListArray]]:
-    """lo, hi and the ids of texts lo..hi, a run of a bounded number of characters at a time (a longer text is a run of its own)."""
-    for begin, end in _groups(texts, LEARN_CHARS):
+def _encoded(v: Bpe, column: pa.Array) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """lo, hi and the ids of texts lo..hi, a run of a bounded size at a time (a longer text is a run of its own)."""
+    for b in tk.blocks(column, LEARN_BYTES):
+        texts = ["" if t is None else t for t in column.slice(b.lo, b.n).to_pylist()]
         numbers = _Numbers()
-        cut = [_cut(v, t, numbers) for t in texts[begin:end]]
+        cut = [_cut(v, t, numbers) for t in texts]
+        bounds = list(_groups(texts, SEND_CHARS))
+        del texts
         tokens = v.encode_pieces(list(numbers))
         del numbers
-        for lo, hi in _groups(texts, SEND_CHARS, begin, end):
-            own = cut[lo - begin : hi - begin]
-            got = tokens.take(np.concatenate(own)).grouped(np.array([len(x) for x in own]))
-            yield lo, hi, pa.ListArray.from_arrays(pa.array(np.append(got.first, len(got.flat)).astype(np.int32)), pa.array(got.flat))
+        for lo, hi in bounds:
+            got = tokens.take(np.concatenate(cut[lo:hi])).grouped(np.array([len(x) for x in cut[lo:hi]]))
+            yield b.lo + lo, b.lo + hi, pa.ListArray.from_arrays(pa.array(np.append(got.first, len(got.flat)).astype(np.int32)), pa.array(got.flat))
 
 
 def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make: Callable[[Bpe, pa.ListArray], list[pa.Array]]) -> DataFrame:
@@ -428,9 +431,9 @@ def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make:
         vocabulary = bpe(shipped.value)
         for batch in batches:
             keep = [i for i, n in enumerate(batch.schema.names) if n != text_col]
-            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for lo, hi, ids in _encoded(vocabulary, texts):
+            for lo, hi, ids in _encoded(vocabulary, batch.column(batch.schema.get_field_index(text_col))):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in keep), *make(vocabulary, ids)], names=[*(batch.schema.names[i] for i in keep), *names])
+        vocabulary.forget()  # the worker lives on, for other work
         tk.release()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)

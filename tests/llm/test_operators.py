@@ -337,7 +337,7 @@ def test_decoding_goes_by_the_emitted_ids(spark):
     lists = [own.encode("an unbelievable text"), [], None, [5, 300, 7]]
     got = bpe_trie.decode(spark.createDataFrame(list(enumerate(lists)), "n long, ids array<int>")).orderBy("n").collect()
     assert [r["decoded"] for r in got] == [None if x is None else own.decode(x) for x in lists]
-    (_, _, ids), = bpe_trie._encoded(own, ["hello world", ""])
+    (_, _, ids), = bpe_trie._encoded(own, pa.array(["hello world", None]))
     faulty = pa.ListArray.from_arrays(ids.offsets, pa.array([*ids.values.to_pylist()[:-1], 300], pa.int32()))
     n, digest, decoded = (c.to_pylist() for c in bpe_trie._digests(own, faulty))
     want = [*own.encode("hello"), 300]
