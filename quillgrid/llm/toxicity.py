@@ -25,9 +25,10 @@ FIT_ROWS = 3000
 THRESHOLD = 0.3
 ORDERS = (3, 4, 5)
 BITS = 20
-#: The least likelihood-ratio statistic of a feature (one in a thousand by chance), and the ridge: the best log loss over
-#: four folds of the training rows, among statistics of 8 to 40 and ridges of 0.02 to 1.5.
-G_LEAST, RIDGE, STEPS = 10.83, 0.5, 400
+#: The least likelihood-ratio statistic of a feature (one in a thousand by chance), the features that a model has, those of
+#: the largest statistics, and the ridge: the best log loss over folds of the training rows, among statistics of 8 to 40,
+#: ridges of 0.02 to 1.5, and, where many n-grams pass, 1000 to 8000 features or all of them.
+G_LEAST, FEATURES, RIDGE, STEPS = 10.83, 4000, 0.5, 400
 #: Bytes of a text whose n-grams are held at once.
 SPAN_BYTES = 4 << 20
 _PRIME = np.uint64(0x100000001B3)
@@ -120,10 +121,15 @@ def dependence(count: np.ndarray, n: np.ndarray) -> np.ndarray:
     return 2 * total
 
 
-def ratios(count: np.ndarray, n: np.ndarray, least: float = G_LEAST) -> np.ndarray:
-    """Naive Bayes log-count ratios of the buckets that have a feature, 0 of others."""
+def ratios(count: np.ndarray, n: np.ndarray, least: float = G_LEAST, features: int = FEATURES) -> np.ndarray:
+    """Naive Bayes log-count ratios of the buckets that have a feature, 0 of others; of equal statistics all or none."""
     share = (count + 1) / (n[:, None] + 2)
-    return np.where(dependence(count, n) >= least, np.log(share[1] / share[0]), 0.0)
+    g = dependence(count, n)
+    passed = np.sort(g[g >= least])
+    if len(passed) > features:
+        at = passed[-features]
+        least = at if (passed >= at).sum() == features else np.nextafter(at, np.inf)
+    return np.where(g >= least, np.log(share[1] / share[0]), 0.0)
 
 
 def fit(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float) -> Model:
