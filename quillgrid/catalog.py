@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import collections, layers, numbers, shapes, tiling
+from .plans import collections, layers, measures, numbers, shapes, tiling
 
-_MODULES = (layers, numbers, shapes, tiling, collections)
+_MODULES = (layers, numbers, shapes, tiling, collections, measures)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
 flagship = layers.flagship

@@ -259,7 +259,71 @@ def from_kml(text: str) -> Geometry:
     return read(root)
 
 
-st_from_blob, st_from_fgf, st_from_kml = (textgeom._parser(f) for f in (from_blob, from_fgf, from_kml))
+def from_gml(text: str) -> Geometry:
+    """A GML geometry, of version 2 (coordinates, coord) or 3 (pos, posList); the SRID is the number that srsName ends in."""
+    if re.search(r"<!(DOCTYPE|ENTITY)", text, re.IGNORECASE):
+        raise ValueError("document types are not read")
+    try:
+        root = ElementTree.fromstring(re.sub(r"<(/?)gml:", r"<\1", text))
+    except ElementTree.ParseError as x:
+        raise ValueError("not XML") from x
+    tag = lambda n: n.tag.rsplit("}", 1)[-1]
+    singles = {"Point": "Point", "LineString": "LineString", "Curve": "LineString", "Polygon": "Polygon", "Surface": "Polygon"}
+    several = {"MultiPoint", "MultiLineString", "MultiCurve", "MultiPolygon", "MultiSurface", "MultiGeometry"}
+    outer, inner = ("exterior", "outerBoundaryIs"), ("interior", "innerBoundaryIs")
+
+    def size(node: ElementTree.Element, given: int) -> int:
+        return int(node.get("srsDimension") or node.get("dimension") or given)
+
+    def coords(node: ElementTree.Element, dim: int) -> list[list[float]]:
+        out: list[list[float]] = []
+        for c in node.iter():
+            if tag(c) in ("pos", "posList"):
+                n = size(c, size(node, dim))
+                flat = [float(v) for v in (c.text or "").split()]
+                n = len(flat) if tag(c) == "pos" else n
+                if n not in (2, 3) or len(flat) % n:
+                    raise ValueError(f"{tag(node)}: positions of another dimension")
+                out += [flat[i : i + n] for i in range(0, len(flat), n)]
+            elif tag(c) == "coordinates":
+                cs, ts, point = c.get("cs", ","), c.get("ts", " "), c.get("decimal", ".")
+                words = (c.text or "").split() if ts.isspace() else [w.strip() for w in (c.text or "").strip().split(ts)]
+                out += [[float(v.replace(point, ".")) for v in w.split(cs)] for w in words if w]
+            elif tag(c) == "coord":
+                out.append([float(x.text) for x in c])
+        if not out or len({len(c) for c in out}) != 1 or len(out[0]) not in (2, 3):
+            raise ValueError(f"{tag(node)} has no coordinates, or some of several lengths")
+        return out
+
+    def read(node: ElementTree.Element, dim: int) -> Geometry:
+        name, dim = tag(node), size(node, dim)
+        if name in ("Point", "LineString", "Curve"):
+            cs = coords(node, dim)
+            if name == "Point" and len(cs) != 1:
+                raise ValueError("a point has one position")
+            return Geometry(singles[name], cs[0] if name == "Point" else cs, "XYZ" if len(cs[0]) == 3 else "XY")
+        if name in ("Polygon", "Surface"):
+            rings = [coords(c, dim) for want in (outer, inner) for c in node.iter() if tag(c) in want]
+            if sum(tag(c) in outer for c in node.iter()) != 1:
+                raise ValueError("a polygon has one outer boundary")
+            return Geometry("Polygon", rings, "XYZ" if len(rings[0][0]) == 3 else "XY")
+        parts = [read(c, dim) for member in node if tag(member).lower().endswith(("member", "members")) for c in member]
+        kinds, every = {p.kind for p in parts}, parts[0].dim if parts else "XY"
+        if any(p.dim != every for p in parts):
+            raise ValueError("members of several dimensions")
+        if len(kinds) == 1 and kinds <= {"Point", "LineString", "Polygon"}:
+            return Geometry("Multi" + kinds.pop(), [p.coords for p in parts], every)
+        return Geometry("GeometryCollection", parts, every)
+
+    found = next((n for n in root.iter() if tag(n) in singles or tag(n) in several), None)
+    if found is None:
+        raise ValueError("no geometry")
+    g = read(found, 2)
+    number = re.search(r"(\d+)\s*$", found.get("srsName") or "")
+    return Geometry(g.kind, g.coords, g.dim, int(number[1]) if number else 0)
+
+
+st_from_blob, st_from_fgf, st_from_kml, st_from_gml = (textgeom._parser(f) for f in (from_blob, from_fgf, from_kml, from_gml))
 st_as_blob, st_as_compressed_blob = textgeom._writer(to_blob, "binary"), textgeom._writer(lambda g: to_blob(g, True), "binary")
 st_as_fgf = textgeom._writer(to_fgf, "binary")
 

@@ -221,6 +221,17 @@ def _extract(g: Column, *ptypes: int) -> Column:
     return _narrow(parts_of(g, *ptypes), g["dim"], g["srid"])
 
 
+def reverse(g: Column) -> Column:
+    """Lines and rings the other way round; their order stays."""
+    return g.withField("parts", F.transform(g["parts"], lambda p: p.withField("points", F.reverse(p["points"]))))
+
+
+def wind(g: Column, outer_clockwise: bool = True) -> Column:
+    """Rings turned so that outer ones go clockwise (or not) and inner ones the other way; other parts stay."""
+    wrong = lambda p: p["ptype"].isin(*_POLYGONS) & (clockwise(p["points"]) != ((p["ptype"] == 3) == F.lit(outer_clockwise)))
+    return g.withField("parts", F.transform(g["parts"], lambda p: p.withField("points", F.when(wrong(p), F.reverse(p["points"])).otherwise(p["points"]))))
+
+
 def extract_points(g: Column) -> Column:
     return _extract(g, 1)
 
@@ -311,11 +322,29 @@ def up_down_height(line: Column) -> Column:
     return F.struct(total(lambda v: F.greatest(v, F.lit(0.0))).alias("up"), total(lambda v: F.greatest(-v, F.lit(0.0))).alias("down"))
 
 
-def curvosity(line: Column) -> Column:
-    """The straight distance from a path's start to its end, over its length: 1 for a straight line, 0 for a closed one;
-    null without length."""
+def curvosity(line: Column, extra_points: int = 0) -> Column:
+    """The length of a reference line over that of a path; null without length. The reference line goes from the path's
+    start to its end by way of so many places that cut the path evenly: 1 for a straight line, 0 for a closed one without them."""
     long = path.length(line)
-    return F.when(long > 0, path.distance(F.get(line, F.lit(0)), F.element_at(line, -1)) / long)
+    if extra_points < 0:
+        raise ValueError("a reference line has no fewer than its two ends")
+    if not extra_points:
+        return F.when(long > 0, path.distance(F.get(line, F.lit(0)), F.element_at(line, -1)) / long)
+
+    def index(upto: Column) -> Column:
+        total = F.element_at(upto, -1)
+        sides = F.arrays_zip(path.segments(line).alias("s"), F.slice(upto, F.lit(1), F.size(upto) - 1).alias("from"), F.slice(upto, F.lit(2), F.size(upto) - 1).alias("to"))
+        places = [F.get(line, F.lit(0))]
+        for i in range(1, extra_points + 1):
+            at = total * (i / (extra_points + 1))
+            on = F.get(F.filter(sides, lambda s: (s["to"] >= at) & (s["to"] > s["from"])), F.lit(0))  # noqa: B023
+            share = (at - on["from"]) / (on["to"] - on["from"])
+            places.append(path.point(on["s"]["a"]["x"] + share * (on["s"]["b"]["x"] - on["s"]["a"]["x"]), on["s"]["a"]["y"] + share * (on["s"]["b"]["y"] - on["s"]["a"]["y"])))
+        places.append(F.element_at(line, -1))
+        reference = path.of_points(*places)
+        return F.when(total > 0, path.length(reference) / total)
+
+    return F.when(F.size(line) > 1, _let(_lengths(line), index))
 
 
 def min_distance(p: Column, line: Column) -> Column:
@@ -332,19 +361,18 @@ def clockwise(ring: Column) -> Column:
 
 def _lengths(points: Column) -> Column:
     """Length along a path up to every vertex."""
-    start = F.struct(F.lit(0.0).alias("at"), F.array(F.lit(0.0)).alias("all"))
-    step = lambda acc, s: F.struct((acc["at"] + path.distance(s["a"], s["b"])).alias("at"), F.concat(acc["all"], F.array(acc["at"] + path.distance(s["a"], s["b"]))).alias("all"))
-    return F.aggregate(path.segments(points), start, step, lambda acc: acc["all"])
+    return path.running(F.transform(path.segments(points), lambda s: path.distance(s["a"], s["b"])))
 
 
 def add_measure(g: Column, start: float | Column, end: float | Column) -> Column:
     """Lines with measures that go evenly from start to end along all of them; null for what is not lines only."""
     lines = g["parts"]
     total = F.aggregate(lines, F.lit(0.0), lambda acc, p: acc + path.length(p["points"]))
-    before = lambda i: F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0.0), lambda acc, p: acc + path.length(p["points"]))
     s, e = _double(start), _double(end)
     at = lambda run: F.when(total > 0, s + (e - s) * run / total).otherwise(s)
-    measured = F.transform(lines, lambda p, i: p.withField("points", F.zip_with(p["points"], _lengths(p["points"]), lambda q, v: vertex(q["x"], q["y"], q["z"], at(before(i) + v)))))
+    ahead = path.running(F.transform(lines, lambda p: path.length(p["points"])))
+    line = lambda p, far: p.withField("points", F.zip_with(p["points"], _lengths(p["points"]), lambda q, v: vertex(q["x"], q["y"], q["z"], at(far + v))))
+    measured = _let(ahead, lambda far: F.transform(lines, lambda p, i: _let(F.get(far, i), lambda v: line(p, v))))
     dim = F.when(g["dim"].contains("Z"), "XYZM").otherwise("XYM")
     only = (F.size(lines) > 0) & F.forall(lines, lambda p: p["ptype"] == 2)
     return F.when(only, whole(g["kind"], measured, dim, g["srid"]))

@@ -21,6 +21,30 @@ def of_flat(values: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: point(F.get(values, (i * 2).cast("int")), F.get(values, (i * 2 + 1).cast("int"))))).otherwise(F.slice(F.transform(values, lambda v: point(v, v)), 1, 0))
 
 
+def of_points(*points: Column) -> Column:
+    """The path of these points, in order; what they hold but x and y goes."""
+    return F.array(*[point(p["x"], p["y"]) for p in points])
+
+
+#: Items that one list of a running sum holds: an array that grows is copied at every step.
+_RUN = 256
+
+
+def running(values: Column) -> Column:
+    """0, and the sum of an array's values up to each; the work is linear but for the number of runs of _RUN values."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / _RUN).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * _RUN + 1, _RUN))
+    none = F.lit(None).cast("array<double>")
+
+    def one(acc: Column, v: Column) -> Column:
+        return F.struct((acc["at"] + v).alias("at"), F.concat(F.coalesce(acc["out"], F.expr("cast(array() as array<double>)")), F.array(acc["at"] + v)).alias("out"))
+
+    def whole(acc: Column, run: Column) -> Column:
+        inner = F.aggregate(run, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.coalesce(x["out"], F.expr("cast(array() as array<double>)")))).alias("out")))[0]
+
+    return F.flatten(F.aggregate(runs, F.struct(F.lit(0.0).alias("at"), F.array(F.array(F.lit(0.0))).alias("out")), whole)["out"])
+
+
 def after(path: Column) -> Column:
     """The path rotated by one: each point's successor in the ring."""
     return F.concat(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 1, 1))
