@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import duckdb
 import numpy as np
@@ -525,18 +526,37 @@ def test_substrings_against_brute_force(spark, docs, window):
 
 # 8
 def test_merkle_audit_finds_exactly_the_damage(spark):
-    rows = [(i, f"http://h/{i}" if i % 7 else None, f"<p>{i}</p>" * (i % 5) if i % 11 else None) for i in range(700)] + [(None, "u", "h"), (5, "http://h/5", "again")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("shard_note", F.lit(1))
-    shards = warc_merkle.archive(pages, 100)
-    assert shards.count() == len(rows)
-    ours = warc_merkle.tree(shards, 4)
-    assert warc_merkle.audit(ours, warc_merkle.tree(shards, 4), 4).count() == 0
+    rows = [(i, f"http://h/{i}" if i % 7 else None, f"<p>{i}</p>" * (i % 5) if i % 11 else None) for i in range(700)] + [(None, "u", "h"), (None, "u", "h"), (None, "u\r\nX: y", ""), (5, "http://h/5", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("shard", F.lit(1)).withColumn("KEY", F.lit("k"))
+    shards = warc_merkle.archive(pages, 30_000)
+    assert shards.count() == len(rows) and shards.select("shard").distinct().count() > 3
+    for r in shards.collect():
+        head = bytes(r["record"]).split(b"\r\n\r\n")[0].split(b"\r\n")
+        assert len(head) == 8 and head[2].startswith(b"WARC-Record-ID: <urn:uuid:") and r["length"] == len(r["record"])
+    ours = warc_merkle.tree(shards)
+    again = lambda d: warc_merkle.tree(d, depth=len(ours) - 1)
+    named = shards.select("page_id", "shard", F.col("key").alias("node"), "nth")
+    found = lambda theirs: sorted((r["page_id"] or -1, r["status"]) for r in warc_merkle.audit(ours, theirs).join(named, ["shard", "node", "nth"], "left").collect())
+    assert found(again(shards)) == []
     broken = shards.withColumn("record", F.when(F.col("page_id").isin(3, 77, 500), F.lit(b"rot")).otherwise(F.col("record")))
-    bad = warc_merkle.audit(ours, warc_merkle.tree(broken, 4), 4).join(shards, ["shard", "ordinal"]).select("page_id", "status").collect()
-    assert sorted(map(tuple, bad)) == [(3, "changed"), (77, "changed"), (500, "changed")]
-    lost = shards.where(~((F.col("shard") == 2) & (F.col("ordinal") >= 40)))
-    gone = warc_merkle.audit(ours, warc_merkle.tree(lost, 4), 4)
-    assert {r["status"] for r in gone.collect()} == {"missing"} and gone.count() == shards.where("shard = 2 and ordinal >= 40").count()
+    assert found(again(broken)) == [(3, "changed"), (77, "changed"), (500, "changed")]
+    # Records lost in the middle and at the end of shards: what follows has moved, and is intact.
+    lost = shards.where(~F.col("page_id").isin(4, 90, 600) | F.col("page_id").isNull())
+    moved = lost.withColumn("offset", F.col("offset") - 7)
+    assert found(again(lost)) == found(again(moved)) == [(4, "missing"), (90, "missing"), (600, "missing")]
+    back = warc_merkle.audit(again(lost), ours).collect()
+    assert len(back) == 3 and {r["status"] for r in back} == {"extra"}
+    # Only branches with damage are read: the nodes that differ are those above the damage.
+    for a, b in zip(ours[1:], again(lost)[1:], strict=True):
+        assert a.join(b, ["shard", "node", "hash"], "left_anti").count() <= 3
+    # The tree, by hand.
+    root = {}
+    for shard, group in groupby(sorted(((r["shard"], r["key"], r["nth"], r["length"], hashlib.sha256(r["record"]).hexdigest()) for r in shards.collect())), key=lambda x: x[0]):
+        level = [(k, n, size, h) for _, k, n, size, h in group]
+        for up in range(len(ours) - 2, -1, -1):
+            level = [(p, 0, sum(x[2] for x in xs), hashlib.sha256("\n".join(f"{x[2]}:{x[3]}" for x in xs).encode()).hexdigest()) for p, xs in ((p, list(g)) for p, g in groupby(level, key=lambda x: x[0][:up]))]
+        root[shard] = level[0][3]
+    assert {r["shard"]: r["hash"] for r in ours[-1].collect()} == root
     empty = warc_merkle.tree(warc_merkle.archive(pages.limit(0)))
     assert warc_merkle.audit(empty, empty).count() == 0
 
