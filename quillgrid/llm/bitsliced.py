@@ -21,17 +21,23 @@ from .common import stored, table
 
 K = 5
 SCALE = 256
-#: Rows of an index block, and queries of a chunk: a task holds one of each.
+#: Rows of an index block, and queries of a chunk; a task holds one of each at a time.
 BLOCK_ROWS = 16384
 CHUNK_ROWS = 256
+#: Components beyond this size have no exact product sum in 64 bits.
+LARGEST = 1 << 24
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """id, q array<long>: floor(scale * x). Rows with a null id, vector or component, or a non-finite one, go."""
+    """id, q array<long>: floor(scale * x). Rows with a null id, vector or component, or a non-finite one, go.
+
+    Scores are exact in 64 bits, so a component whose quantised size exceeds LARGEST is an error when the row is read.
+    """
     d = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("x"))
     bad = F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     d = d.where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(~bad)
-    return d.select("id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("q"))
+    fits = lambda x: F.when(F.abs(x * scale) <= LARGEST, F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long"))
+    return d.select("id", F.transform("x", fits).alias("q"))
 
 
 class Slices:
@@ -187,7 +193,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLO
 
     packed = q.groupBy("chunk", "dims").applyInPandas(pack, "chunk int, dims int, ids binary, qs binary")
     visits = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = visits.join(index, ["block", "dims"]).repartition(blocks * chunks)  # a pair a task
+    pairs = visits.join(index, ["block", "dims"])  # chunks, which are small, travel to the blocks
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    if blocks < tasks:  # too few blocks to keep all cores busy
+        pairs = pairs.repartition(min(blocks * chunks, tasks))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -6,8 +6,8 @@ and neighbouring windows mostly share one, which makes anchors some twenty times
 anchors of its documents into a count-min sketch and emits its cells by block; merged, only "at least twice" matters,
 a bit a cell. Sketches overestimate: no repeated window is lost.
 
-Second pass: only windows whose anchor may repeat are grouped, exactly, by 128 bits of their words' hash, for the
-smallest document of each. Third: windows that start in a smaller document too are marked, and the words under them go.
+Second pass: only windows whose anchor may repeat are grouped, exactly, by 128 bits (two independent hashes of their
+words), for the smallest document of each. Third: windows that start in a smaller document too are marked, and the words under them go.
 The two groupings combine before they shuffle and emit a window once a document, so common passages don't pile up.
 """
 
@@ -32,6 +32,8 @@ ROWS, MOST_CELLS = 2, 1 << 28
 #: Bytes of text a cell: one or two cells an anchor and more.
 BYTES_PER_CELL = 16
 BLOCK_BITS = 18
+#: Merged sketches that a block is left with after the first of two steps.
+MERGED = 64
 
 
 def _sliding_min(a: np.ndarray, k: int) -> np.ndarray:
@@ -104,14 +106,27 @@ def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCH
         if size:
             yield from flush()
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+    def added(group: pd.DataFrame) -> np.ndarray:
         total = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
         for c, n in zip(group["cell"], group["n"], strict=True):
             at = np.frombuffer(c, np.uint32)
             total[at] = np.minimum(total[at] + np.frombuffer(n, np.uint8), 2)
-        return pd.DataFrame({"r": [int(group["r"].iloc[0])], "block": [int(group["block"].iloc[0])], "bits": [np.packbits(total >= 2, bitorder="little").tobytes()]})
+        return total
+
+    def some(group: pd.DataFrame) -> pd.DataFrame:
+        """The sketches of some partitions as one."""
+        total = added(group)
+        at = np.flatnonzero(total).astype(np.uint32)
+        return pd.DataFrame({"r": [int(group["r"].iloc[0])], "block": [int(group["block"].iloc[0])], "cell": [at.tobytes()], "n": [total[at].tobytes()]})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.packbits(added(group) >= 2, bitorder="little").tobytes()
+        return pd.DataFrame({"r": [int(group["r"].iloc[0])], "block": [int(group["block"].iloc[0])], "bits": [bits]})
 
-    parts = docs.select("text").mapInArrow(count, "r int, block int, cell binary, n binary").groupBy("r", "block").applyInPandas(merge, "r int, block int, bits binary")
+    # Partitions' sketches merge in two steps, so a block's task never holds those of all.
+    sent = docs.select("text").mapInArrow(count, "r int, block int, cell binary, n binary").withColumn("part", F.spark_partition_id() % MERGED)
+    merged = sent.groupBy("r", "block", "part").applyInPandas(some, "r int, block int, cell binary, n binary")
+    parts = merged.groupBy("r", "block").applyInPandas(merge, "r int, block int, bits binary")
     out = [np.zeros(max(1, cells >> 3), dtype=np.uint8) for _ in range(ROWS)]
     width = 1 << BLOCK_BITS >> 3
     for p in parts.toLocalIterator():  # bitmaps of a bounded size, whatever the input
@@ -148,7 +163,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
                     if not len(head):
                         continue
                     every, x = tk.windows(h, w.first, window, 21)
-                    _, y = tk.windows(h, w.first, window, 22)
+                    _, y = tk.windows(w.hashes(1), w.first, window, 22)
                     k = np.searchsorted(every, head)
                     x, y = x[k], y[k]
                     order = np.lexsort((head, y, x, rows))

@@ -44,7 +44,8 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = stream(7, 256)
+#: What bytes count for in the hashes of words, of each of two kinds.
+_BYTE = stream(7, 256), stream(8, 256)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -114,11 +115,12 @@ class Words:
         self.first = np.searchsorted(self.start, b.off)
         self.block = b
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, kind: int = 0) -> np.ndarray:
+        """64-bit hashes of the words' bytes; those of the two kinds are independent."""
         b = self.block
         up, down = powers(len(b.data) + 1)
         sums = np.zeros(len(b.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[b.data] * up[:-1], out=sums[1:])
+        np.cumsum(_BYTE[kind][b.data] * up[:-1], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
 
     def rows(self) -> np.ndarray:

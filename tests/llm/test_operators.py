@@ -591,3 +591,17 @@ def test_words_of_a_block():
     assert np.diff(w.first).tolist() == [0, 2, 2, 0, 1]
     h = w.hashes()
     assert len(set(h.tolist())) == 5 and textkernel.Words(next(textkernel.blocks(pa.array(["x", "a b"])))).hashes()[1] == h[0]
+
+
+def test_components_too_large_for_exact_scores_are_an_error(spark):
+    fine = spark.createDataFrame([(0, [65536.0, -65536.0]), (50, [65535.9, 1e-9])], "vec_id long, embedding array<double>")
+    q = bitsliced.quantised(fine, "vec_id", "embedding")
+    assert [(r["query_id"], r["id"], r["score"]) for r in bitsliced.top_k(q, q).orderBy("query_id").collect()] == [(0, 50, (1 << 24) * 16777190), (50, 0, (1 << 24) * 16777190)]
+    with pytest.raises(Exception, match="too large"):
+        bitsliced.quantised(spark.createDataFrame([(0, [1e18])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+
+
+def test_kinds_of_word_hashes_are_independent():
+    w = textkernel.Words(next(textkernel.blocks(pa.array([" ".join(f"w{i}" for i in range(1000)) + " w1"]))))
+    a, b = w.hashes(), w.hashes(1)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == 1000 and not set(a.tolist()) & set(b.tolist()) and b[1] == b[-1]
