@@ -39,7 +39,7 @@ _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Words that a worker remembers, words that one trie holds, and pairs of tokens judged.
 REMEMBERED, TRIE_WORDS, PAIRS = 200_000, 20_000, 100_000
 #: Bytes of text whose pieces are learnt together; characters whose results are sent together, and of text cut at once.
-LEARN_BYTES, SEND_CHARS, CUT_CHARS = 5_000_000, 1_000_000, 1_000_000
+LEARN_BYTES, SEND_CHARS, CUT_CHARS = 3_000_000, 1_000_000, 1_000_000
 #: Tokens that are decoded together.
 DECODE_TOKENS = 1_000_000
 
@@ -99,9 +99,8 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(SUFFIX)}
         self.final = {t[: -len(SUFFIX)]: i for t, i in vocab.items() if t.endswith(SUFFIX)}
+        #: Two tokens -> the one that they make; token -> the two that make it; and the rank of that merge.
         self.merged: dict[tuple[int, int], int] = {}
-        self.rank: dict[tuple[int, int], int] = {}
-        #: token -> the two that make it, and the rank of that merge.
         self.split: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         for r, pair in enumerate(model["merges"]):
@@ -109,9 +108,9 @@ class Bpe:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             if z in self.split or max(self.born.get(x, -1), self.born.get(y, -1)) >= r:
                 raise ValueError(f"merge {r}: the trie needs one merge a token, and parts that are merged before")
-            self.merged[x, y] = z
-            self.rank[x, y] = self.born[z] = r
             self.split[z] = x, y
+            self.merged[self.split[z]] = z
+            self.born[z] = r
         self.name_of = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.string())
         self.chars = {b: c for b, c in enumerate(byte_chars())}
         self.whole: dict[int, bool] = {}
@@ -174,7 +173,7 @@ class Bpe:
         """The plain way: merge the best-ranked pair until none is left."""
         ids = [self.inner[c] for c in word[:-1]] + [self.final[word[-1]] if end else self.inner[word[-1]]]
         while len(ids) > 1:
-            r, i = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
+            r, i = min((self.born.get(self.merged.get(p), 1 << 30), i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
             if r == 1 << 30:
                 break
             ids[i : i + 2] = [self.merged[ids[i], ids[i + 1]]]
@@ -204,11 +203,10 @@ class Bpe:
         token. Merges go by rank, so a token lasts from its rank to that of the merge that absorbs it; of equal merges
         the left one comes first.
         """
-        rank = self.rank
         for x, x_until in self._edge(a)[0]:
             for y, y_until in self._edge(b)[1]:
-                r = rank.get((x, y))
-                if r is not None and r < x_until and r <= y_until:
+                z = self.merged.get((x, y))
+                if z is not None and self.born[z] < x_until and self.born[z] <= y_until:
                     return False
         return True
 
@@ -374,6 +372,13 @@ def bpe(raw: str) -> Bpe:
     return _loaded[key]
 
 
+def _unload() -> None:
+    """A worker lives on after its task, for other work: it gives the vocabulary's memory back, which is soon read again."""
+    _loaded.clear()
+    gc.collect()
+    tk.release()
+
+
 def _groups(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of a bounded number of characters; a longer text is a run of its own."""
     lo, end, n = 0, len(texts), 0
@@ -433,18 +438,21 @@ def _mapped(docs: DataFrame, path: str | None, text_col: str, schema: str, make:
             keep = [i for i, n in enumerate(batch.schema.names) if n != text_col]
             for lo, hi, ids in _encoded(vocabulary, batch.column(batch.schema.get_field_index(text_col))):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in keep), *make(vocabulary, ids)], names=[*(batch.schema.names[i] for i in keep), *names])
-        vocabulary.forget()  # the worker lives on, for other work
-        tk.release()
+        del vocabulary
+        _unload()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
     return docs.mapInArrow(run, f"{kept}, {schema}")
 
 
+def _sha(column: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
+
+
 def _digests(v: Bpe, ids: pa.ListArray) -> list[pa.Array]:
     """Number of ids, the digest of the ids and that of what these ids decode to."""
     written = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
-    sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
-    return [ids.value_lengths().cast(pa.int64()), sha(written), sha(v.decode_lists(ids))]
+    return [ids.value_lengths().cast(pa.int64()), _sha(written), _sha(v.decode_lists(ids))]
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -457,6 +465,12 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     return _mapped(docs, path, text_col, "n_tokens long, ids array<int>", lambda _, ids: [ids.value_lengths().cast(pa.int64()), ids])
 
 
+def encode_checked(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """As `encode`, with decoded_sha256 string: the digest of what `decode` gives for these ids, by the worker that has them."""
+    docs = without(docs, "n_tokens", "ids", "decoded_sha256")
+    return _mapped(docs, path, text_col, "n_tokens long, ids array<int>, decoded_sha256 string", lambda v, ids: [ids.value_lengths().cast(pa.int64()), ids, _sha(v.decode_lists(ids))])
+
+
 def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """docs with decoded string, what their ids decode to; null ids give null. A column named decoded is replaced."""
     docs = without(docs, "decoded")
@@ -473,6 +487,8 @@ def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, vocabulary.decode_lists(lists.slice(lo, hi - lo))], names=[*batch.schema.names, "decoded"])
                 lo = hi
+        del vocabulary
+        _unload()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{kept}, decoded string")
