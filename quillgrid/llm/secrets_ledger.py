@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, text_of, without
+from .common import shared_path, stored, table, text_of, without
 
 _any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -84,6 +84,14 @@ def scan_blobs(blobs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES)
     return blobs.select("blob", F.array_sort(F.concat(*each)).alias("findings"))
 
 
+_LEDGER = "blob string, version string, findings array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def scan(paths: DataFrame, ledger: str, rules: dict[str, tuple[str, int, int]] = RULES, version: str = RULE_VERSION, blobs_only: bool = False) -> DataFrame:
     """Scan what the ledger at this path lacks and return paths' columns but text, with blob and findings.
 
@@ -93,19 +101,41 @@ def scan(paths: DataFrame, ledger: str, rules: dict[str, tuple[str, int, int]] =
     """
     spark = paths.sparkSession
     named = without(paths, "blob", "findings").withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    schema = "blob string, version string, findings array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(ledger)
-    fresh = not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    fresh = not _exists(spark, ledger)
     blobs = named.select("blob", "text").dropDuplicates(["blob"])
     if not fresh:
-        known = spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).select("blob")
+        known = spark.read.schema(_LEDGER).parquet(ledger).where(F.col("version") == version).select("blob")
         blobs = named.select("blob", "text").join(known, "blob", "left_anti").dropDuplicates(["blob"])
     scan_blobs(blobs, rules).select("blob", F.lit(version).alias("version"), "findings").write.mode("append").parquet(ledger)
-    found = spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).select("blob", "findings")
+    found = spark.read.schema(_LEDGER).parquet(ledger).where(F.col("version") == version).select("blob", "findings")
     return found if blobs_only else named.drop("text").join(found, "blob")
 
 
+def commit(paths: DataFrame, root: str, rules: dict[str, tuple[str, int, int]] = RULES, rule_version: str = RULE_VERSION) -> int:
+    """Record path, version, text (and other columns) in the history at this folder, and scan the blobs that are new to it.
+
+    The history, root/paths, has one row per path and version with its blob; a version that is there already stays as it is, a
+    path and version that comes twice with different texts in one call keeps the smaller blob. Returns the number of rows added.
+    """
+    spark = paths.sparkSession
+    named = without(paths, "blob", "findings").withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    new = stored(named.groupBy("path", "version").agg(F.min("blob").alias("blob")), "ledger-new")
+    where = f"{root}/paths"
+    if _exists(spark, where):
+        known = spark.read.schema(new.schema).parquet(where).select("path", "version")
+        met = (F.col("n.path").eqNullSafe(F.col("k.path"))) & (F.col("n.version").eqNullSafe(F.col("k.version")))
+        new = stored(new.alias("n").join(known.alias("k"), met, "left_anti"), "ledger-new")
+    scan(named.join(new.select("blob").distinct(), "blob", "left_semi").select("text"), f"{root}/blobs", rules, rule_version, blobs_only=True)
+    new.write.mode("append").parquet(where)
+    return new.count()
+
+
+def report(spark: SparkSession, root: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """path, version, blob and findings of every path and version in a history, as a version of the rules found them."""
+    found = spark.read.schema(_LEDGER).parquet(f"{root}/blobs").where(F.col("version") == rule_version).select("blob", "findings")
+    return spark.read.parquet(f"{root}/paths").join(found, "blob", "left").select("path", "version", "blob", "findings")
+
+
 def joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

@@ -163,6 +163,21 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert cut == "é ß 漢字 \U0001f600 Σίσυφος [SECRET] [SECRET]"
 
 
+def test_history_of_versions(spark):
+    root = common.shared_path(spark, "t")
+    schema = "path string, version int, text string"
+    first = spark.createDataFrame([("a", 1, "token: abcdefghij"), ("b", 1, "nothing"), ("c", 1, None)], schema).withColumn("findings", F.lit(1))
+    assert secrets_ledger.commit(first, root) == 3 and secrets_ledger.commit(first, root) == 0
+    blobs = lambda: spark.read.parquet(f"{root}/blobs").count()
+    assert blobs() == 3
+    second = spark.createDataFrame([("a", 2, "nothing"), ("d", 1, "token: abcdefghij"), ("b", 2, "secret=0123456789"), ("b", 1, "changed later"), (None, None, "nothing")], schema)
+    assert secrets_ledger.commit(second, root) == 4 and secrets_ledger.commit(second, root) == 0 and blobs() == 4
+    got = {(r["path"], r["version"]): r["s"] for r in secrets_ledger.report(spark, root).select("path", "version", secrets_ledger.joined(F.col("findings")).alias("s")).collect()}
+    assert got == {("a", 1): "assign:0:17", ("a", 2): "", ("b", 1): "", ("b", 2): "assign:0:17", ("c", 1): "", ("d", 1): "assign:0:17", (None, None): ""}
+    assert secrets_ledger.commit(first.limit(0), root) == 0
+    assert secrets_ledger.report(spark, root, "another").where("findings is not null").count() == 0
+
+
 def plain_redacted(t):
     out, at = [], 0
     for x in found(t).split(",") if found(t) else []:
