@@ -620,3 +620,25 @@ def test_kinds_of_word_hashes_are_independent():
     w = textkernel.Words(next(textkernel.blocks(pa.array([" ".join(f"w{i}" for i in range(1000)) + " w1"]))))
     a, b = w.hashes(), w.hashes(1)
     assert len(set(a.tolist())) == len(set(b.tolist())) == 1000 and not set(a.tolist()) & set(b.tolist()) and b[1] == b[-1]
+
+
+def test_near_duplicate_recall_of_every_twentieth_document(spark):
+    sf = "/root/testdata/sf0.1"
+    of = {r["doc_id"]: r["class_id"] for r in registry.QUERIES["op4_dart_minhash"](spark, sf).collect()}
+    texts = {r["doc_id"]: (r["text"] or "").split() for r in common.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    queries = {i: grams(w) for i, w in texts.items() if i % 20 == 0}
+    holders: dict = {}
+    for i, s in queries.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    pairs = found = 0
+    for j, w in texts.items():
+        s = grams(w)
+        common_ = Counter(i for g in s if g in holders for i in holders[g])
+        for i, n in common_.items():
+            if i != j and n / (len(s) + len(queries[i]) - n) >= 0.8:
+                pairs += 1
+                found += of[i] == of[j]
+    print("pairs of 0.8 and more:", pairs, "in one class:", found)
+    assert pairs > 50 and found == pairs
