@@ -27,7 +27,7 @@ BUDGET_HALVES = 3
 MAX_PASSES = 2
 SEED = "mix-1"
 #: Rows that one slice of a queue holds at least, on average, and that a partition of the sorted mix does.
-SLICE_ROWS, SORT_ROWS = 2048, 65536
+SLICE_ROWS, SORT_ROWS = 256, 65536
 
 
 def words_in(text: Column) -> Column:
@@ -74,9 +74,11 @@ def mix(docs: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS, also: t
     d = docs.select("doc_id", "source", *also, words_in(text).cast("long").alias("size"), F.sha2(F.concat_ws(":", F.lit(seed), name), 256).alias("key"))
     d = stored(d, "mix-sizes")  # the texts are read once
     rows = d.count()
-    # The slices of a source and the rows of a slice both grow with the root of a large table.
-    slices = max(1, -(-rows // max(slice_rows, math.isqrt(rows))))
-    d = d.withColumn("slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("long"))
+    # Slices hold about as many rows whatever their source; both the slices and their rows grow with the root of a large table.
+    per = max(slice_rows, math.isqrt(rows))
+    held = stored(d.groupBy("source").agg(F.ceil(F.count("*") / per).alias("slices")), "mix-sources")  # one row a source
+    d = d.alias("d").join(held.alias("h"), F.col("d.source").eqNullSafe(F.col("h.source"))).select("d.*", "slices")
+    d = d.withColumn("slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("slices") / (1 << 32)).cast("long")).drop("slices")
 
     # Queue positions: sums of whole slices before, then the running sum within the slice.
     sums = d.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
