@@ -56,14 +56,14 @@ def archive(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     A shard's records come together once, as its file would need them. Extra columns are dropped; an empty table has none.
     """
     d = pages.select("page_id", "url", "html", key_of(F.col("page_id"), F.col("url"), F.col("html")).alias("key"))
-    d = stored(d.select("page_id", "key", record(F.col("url"), F.col("html"), F.col("key")).alias("record")).withColumn("length", F.octet_length("record").cast("long")), "warc-records")
+    d = d.select("page_id", "key", record(F.col("url"), F.col("html"), F.col("key")).alias("record")).withColumn("length", F.octet_length("record").cast("long"))
     shards = max(1, -(-(d.agg(F.sum("length")).first()[0] or 0) // shard_bytes))
     d = d.withColumn("shard", number_of(F.col("key")) % shards)
     order = W.partitionBy("shard").orderBy("key", "record")
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("ordinal", F.row_number().over(order).cast("long") - 1).withColumn("offset", F.sum("length").over(upto) - F.col("length"))
     d = d.withColumn("nth", F.row_number().over(W.partitionBy("shard", "key").orderBy("ordinal")).cast("long") - 1)
-    return stored(d.select("page_id", "key", "nth", "shard", "ordinal", "offset", "length", "record"), "warc")
+    return stored(d.select("page_id", "key", "nth", "shard", "ordinal", "offset", "length", "record"), "warc", compression="zstd")
 
 
 def tree(shards: DataFrame, digits: int = DIGITS, depth: int | None = None) -> list[DataFrame]:
@@ -117,7 +117,7 @@ def damaged(shards: DataFrame) -> DataFrame:
     flipped = F.concat(F.expr("substring(record, 1, cast(length / 2 as int) - 1)"), byte, F.expr("substring(record, cast(length / 2 as int) + 1)"))
     zeros = F.unhex(F.repeat(F.lit("00"), F.col("length").cast("int")))
     left = shards.where(kind != 3)
-    return stored(left.withColumn("record", F.when(kind == 1, flipped).when(kind == 2, zeros).otherwise(F.col("record"))), "warc-replica")
+    return stored(left.withColumn("record", F.when(kind == 1, flipped).when(kind == 2, zeros).otherwise(F.col("record"))), "warc-replica", compression="zstd")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
