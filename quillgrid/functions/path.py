@@ -15,10 +15,19 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it. Within a lambda Spark computes what is named anew each time."""
+    return F.transform(F.array(value), f)[0]
+
+
 def of_flat(values: Column) -> Column:
     """[x0, y0, x1, y1, ...] -> path; an odd value at the end is an error of the caller's and ignored."""
-    n = F.floor(F.size(values) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: point(F.get(values, (i * 2).cast("int")), F.get(values, (i * 2 + 1).cast("int"))))).otherwise(F.slice(F.transform(values, lambda v: point(v, v)), 1, 0))
+
+    def pairs(vs: Column) -> Column:
+        n = F.floor(F.size(vs) / 2).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: point(F.get(vs, (i * 2).cast("int")), F.get(vs, (i * 2 + 1).cast("int"))))).otherwise(F.slice(F.transform(vs, lambda v: point(v, v)), 1, 0))
+
+    return let(values, pairs)
 
 
 def of_points(*points: Column) -> Column:
@@ -47,13 +56,13 @@ def running(values: Column) -> Column:
 
 def after(path: Column) -> Column:
     """The path rotated by one: each point's successor in the ring."""
-    return F.concat(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 1, 1))
+    return let(path, lambda p: F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1)))
 
 
 def segments(path: Column, closed: bool = False) -> Column:
     """array<struct<a, b>> of a path's sides."""
-    both = F.arrays_zip(path.alias("a"), after(path).alias("b"))
-    return both if closed else F.slice(both, 1, F.greatest(F.size(path) - 1, F.lit(0)))
+    both = let(path, lambda p: F.arrays_zip(p.alias("a"), F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1)).alias("b")))
+    return both if closed else let(both, lambda sides: F.slice(sides, 1, F.greatest(F.size(sides) - 1, F.lit(0))))
 
 
 def _sum(items: Column, term: Callable[[Column], Column]) -> Column:
@@ -63,7 +72,7 @@ def _sum(items: Column, term: Callable[[Column], Column]) -> Column:
 def signed_area(path: Column) -> Column:
     """Shoelace; 0 for fewer than three points."""
     cross = lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
-    return F.when(F.size(path) < 3, 0.0).otherwise(_sum(segments(path, True), cross) / 2)
+    return let(path, lambda p: F.when(F.size(p) < 3, 0.0).otherwise(_sum(segments(p, True), cross) / 2))
 
 
 def is_positive(path: Column) -> Column:
@@ -79,6 +88,10 @@ def length(path: Column, closed: bool = False) -> Column:
 
 
 def bounds(path: Column) -> Column:
+    return let(path, _bounds)
+
+
+def _bounds(path: Column) -> Column:
     x, y = F.transform(path, lambda p: p["x"]), F.transform(path, lambda p: p["y"])
     return F.struct(F.array_min(x).alias("minx"), F.array_min(y).alias("miny"), F.array_max(x).alias("maxx"), F.array_max(y).alias("maxy"))
 
@@ -86,16 +99,18 @@ def bounds(path: Column) -> Column:
 def centroid(path: Column) -> Column:
     """Of a ring's area; null where the area is 0."""
     cross = lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
-    six = signed_area(path) * 6
-    sides = segments(path, True)
-    cx, cy = _sum(sides, lambda s: (s["a"]["x"] + s["b"]["x"]) * cross(s)), _sum(sides, lambda s: (s["a"]["y"] + s["b"]["y"]) * cross(s))
-    return F.when(six != 0, F.struct((cx / six).alias("x"), (cy / six).alias("y")))
+
+    def of(sides: Column) -> Column:
+        cx, cy = _sum(sides, lambda s: (s["a"]["x"] + s["b"]["x"]) * cross(s)), _sum(sides, lambda s: (s["a"]["y"] + s["b"]["y"]) * cross(s))
+        area = F.when(F.size(sides) < 3, 0.0).otherwise(_sum(sides, cross) / 2)
+        return let(area * 6, lambda six: F.when(six != 0, F.struct((cx / six).alias("x"), (cy / six).alias("y"))))
+
+    return let(segments(path, True), of)
 
 
 def centroid_compat(path: Column) -> Column:
     """As `centroid`, but with the absolute values of both coordinates."""
-    c = centroid(path)
-    return F.when(c.isNotNull(), F.struct(F.abs(c["x"]).alias("x"), F.abs(c["y"]).alias("y")))
+    return let(centroid(path), lambda c: F.when(c.isNotNull(), F.struct(F.abs(c["x"]).alias("x"), F.abs(c["y"]).alias("y"))))
 
 
 def cross_product(a: Column, b: Column, c: Column) -> Column:
@@ -167,9 +182,12 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
         & y.between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"]))
     )
     crosses = lambda s: ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
-    sides = segments(ring, True)
-    odd = F.size(F.filter(sides, lambda s: F.when(s["a"]["y"] != s["b"]["y"], crosses(s)).otherwise(False))) % 2 == 1
-    return F.when(F.size(ring) < 3, "Outside").when(F.exists(sides, on_side), "On").when(odd, "Inside").otherwise("Outside")
+
+    def place(sides: Column) -> Column:
+        odd = F.size(F.filter(sides, lambda s: F.when(s["a"]["y"] != s["b"]["y"], crosses(s)).otherwise(False))) % 2 == 1
+        return F.when(F.size(sides) < 3, "Outside").when(F.exists(sides, on_side), "On").when(odd, "Inside").otherwise("Outside")
+
+    return let(segments(ring, True), place)
 
 
 def point_in_polygon(x: Column, y: Column, outer: Column, holes: Column) -> Column:
@@ -202,11 +220,10 @@ def snap(path: Column, grid: float) -> Column:
 
 def strip_duplicates(path: Column, closed: bool = False) -> Column:
     """Without points that repeat the one before, and, if closed, without ends that repeat the first."""
-    kept = F.filter(path, lambda p, i: (i == 0) | (p != F.get(path, i - 1)))
+    kept = let(path, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p != F.get(ps, i - 1))))
     if not closed:
         return kept
-    last = F.size(kept)
-    return F.when((last > 1) & (F.element_at(kept, -1) == F.element_at(kept, 1)), F.slice(kept, 1, last - 1)).otherwise(kept)
+    return let(kept, lambda ps: F.when((F.size(ps) > 1) & (F.try_element_at(ps, F.lit(-1)) == F.try_element_at(ps, F.lit(1))), F.slice(ps, 1, F.size(ps) - 1)).otherwise(ps))
 
 
 def strip_near_equal(path: Column, limit_squared: float) -> Column:
