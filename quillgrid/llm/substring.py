@@ -33,7 +33,7 @@ ROWS, MOST_CELLS = 2, 1 << 28
 BYTES_PER_CELL = 16
 BLOCK_BITS = 18
 #: Merged sketches that a block is left with after the first of two steps.
-MERGED = 64
+MERGED = 16
 
 
 def _sliding_min(a: np.ndarray, k: int) -> np.ndarray:
