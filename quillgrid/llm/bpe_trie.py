@@ -37,9 +37,9 @@ _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Words that a worker remembers, words that one trie holds, and pairs of tokens judged.
-REMEMBERED, TRIE_WORDS, PAIRS = 200_000, 20_000, 100_000
+REMEMBERED, TRIE_WORDS, PAIRS = 400_000, 30_000, 300_000
 #: Bytes of text whose pieces are learnt together; characters whose results are sent together, and of text cut at once.
-LEARN_BYTES, SEND_CHARS, CUT_CHARS = 3_000_000, 1_000_000, 1_000_000
+LEARN_BYTES, SEND_CHARS, CUT_CHARS = 6_000_000, 1_000_000, 1_000_000
 #: Tokens that are decoded together.
 DECODE_TOKENS = 1_000_000
 
