@@ -1,4 +1,7 @@
-"""The query catalogue: one query per operator of the feature store, with the SQL that states the same."""
+"""The query catalogue: the feature store's operators over whole tables, with the SQL that states the same.
+
+Only what has no rows to return (freeing, closing, raw addresses) has no query.
+"""
 
 from __future__ import annotations
 
