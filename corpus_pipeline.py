@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import bpe_trie, dartminhash, mixing, quality_gbt, secrets_ledger
-from quillgrid.llm.common import fresh, row_hashes, shared_path, stored, table
+from quillgrid.llm.common import fresh, row_hashes, shared_path, table
+from quillgrid.staging import scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +77,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}")
-    return docs
+    """The stages, each written and read again; a stage's own intermediate tables, and its input, go once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scope() as mine:
+            docs = mine.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+        if before is not None:
+            before.drop()
+        before = mine
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,6 +41,34 @@ def clear() -> None:
 atexit.register(clear)
 
 
+class scope:
+    """`with scope() as s:` removes at its end the intermediate tables that were written within, but for those that `s.keep` wrote."""
+
+    def __enter__(self) -> scope:
+        self._before = len(_written)
+        self._kept: list[tuple[SparkSession, str]] = []
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As `stored`, and stays."""
+        out = stored(df, name)
+        self._kept.append(_written.pop())
+        return out
+
+    def drop(self) -> None:
+        """Remove what was kept: once nothing reads it any more."""
+        while self._kept:
+            one = self._kept.pop()
+            if one in _written:
+                _written.remove(one)
+            _drop(*one)
+
+    def __exit__(self, *_: object) -> None:
+        while len(_written) > self._before:
+            _drop(*_written.pop())
+        _written.extend(self._kept)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed by `clear` or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/quillgrid-{name}-{uuid.uuid4().hex}"

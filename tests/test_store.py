@@ -135,3 +135,17 @@ def test_intermediate_tables_can_be_cleared(spark):
     staging.clear()
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     assert not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def test_a_scope_removes_what_it_does_not_keep(spark):
+    there = lambda where: (lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where))
+    outer = staging.stored(spark.range(3), "t").inputFiles()[0]
+    with staging.scope() as mine:
+        inner = staging.stored(spark.range(5), "t")
+        kept = mine.keep(inner.where("id > 1"), "t")
+        where, last = inner.inputFiles()[0], kept.inputFiles()[0]
+    assert there(outer) and not there(where) and kept.count() == 3
+    mine.drop()
+    assert not there(last)
+    staging.clear()
+    assert not there(outer)
