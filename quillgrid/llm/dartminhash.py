@@ -263,7 +263,7 @@ def _across(members: DataFrame, sets: DataFrame, least: float, tilt: float, bloc
     pair is ever a row, no task gets a whole bucket, and nothing is left out.
     """
     far = reach(least, tilt)
-    m = stored(members.withColumn("ring", F.floor(F.col("apart") / F.lit(far / 2)).cast("int")), "dart-rings")
+    m = stored(members.withColumn("ring", F.floor(F.col("apart") / F.lit(far / 2 + 1e-9)).cast("int")), "dart-rings")
     right = m.select("p", F.col("ring").alias("q"), "id", "class")
     left = m.where("out").select("p", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.col("ring") + i)).alias("q"), "id", "class")
     parts = lambda d, to: d.groupBy("p", "q").agg(F.ceil(F.count("*") / block).cast("int").alias(to))
