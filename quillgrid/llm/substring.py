@@ -105,6 +105,7 @@ def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCH
                     size = 0
         if size:
             yield from flush()
+        tk.release()
 
     def added(group: pd.DataFrame) -> np.ndarray:
         total = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
@@ -180,6 +181,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
                     out = pa.RecordBatch.from_arrays(cols, names=names)
                     for i in range(0, out.num_rows, 50_000):
                         yield out.slice(i, 50_000)
+            tk.release()
 
         return run
 
@@ -222,6 +224,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFr
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
             n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"])
+        tk.release()
 
     return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string")
 
