@@ -6,7 +6,7 @@ and neighbouring windows mostly share one, which makes anchors some twenty times
 anchors of its documents into a count-min sketch and emits its cells by block; merged, only "at least twice" matters,
 a bit a cell. Sketches overestimate: no repeated window is lost.
 
-Second pass: only windows whose anchor may repeat are grouped, exactly, by 128 bits (two independent hashes of their
+Second pass: only windows whose anchor may repeat are grouped, exactly, by 96 bits (two independent hashes of their
 words), for the smallest document of each. Third: windows that start in a smaller document too are marked, and the words under them go.
 The two groupings combine before they shuffle and emit a window once a document, so common passages don't pile up.
 """
@@ -165,6 +165,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
                         continue
                     every, x = tk.windows(h, w.first, window, 21)
                     _, y = tk.windows(w.hashes(1), w.first, window, 22)
+                    y >>= np.uint64(32)  # what is shuffled is mostly these hashes
                     k = np.searchsorted(every, head)
                     x, y = x[k], y[k]
                     order = np.lexsort((head, y, x, rows))
@@ -172,7 +173,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
                     new = np.ones(len(head), dtype=bool)
                     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (rows[1:] != rows[:-1])
                     first = np.flatnonzero(new)
-                    cols = [pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64)), pa.array(ids[b.lo + rows[first]])]
+                    cols = [pa.array(x[first].view(np.int64)), pa.array(y[first].astype(np.uint32).view(np.int32)), pa.array(ids[b.lo + rows[first]])]
                     names = ["x", "y", "id"]
                     if positions:
                         starts = pa.array((head - w.first[rows]).astype(np.int32))
@@ -186,9 +187,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         return run
 
     source = docs.select("id", "version", "text")
-    seen = source.mapInArrow(candidates(False), "x long, y long, id long").groupBy("x", "y").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    seen = source.mapInArrow(candidates(False), "x long, y int, id long").groupBy("x", "y").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     repeated = stored(seen.where(F.col("least") < F.col("most")).select("x", "y", "least"), "repeated-windows")
-    marked = source.mapInArrow(candidates(True), "x long, y long, id long, version long, starts array<int>").join(repeated, ["x", "y"]).where(F.col("id") > F.col("least"))
+    marked = source.mapInArrow(candidates(True), "x long, y int, id long, version long, starts array<int>").join(repeated, ["x", "y"]).where(F.col("id") > F.col("least"))
     # A document's marks are no more than its words.
     return marked.groupBy("id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
