@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,13 @@ def clear() -> None:
 atexit.register(clear)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that no frame needs any more: it does so as the driver collects its garbage, which
+    an idle driver seldom does. Worth its fraction of a second after a table is written that large shuffles led to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class scope:
     """`with scope() as s:` removes at its end the intermediate tables that were written within, but for those that `s.keep` wrote."""
 
