@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import free_shuffles
 from . import textkernel as tk
 from .common import stored, table, text_of
 
@@ -189,9 +190,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     source = docs.select("id", "version", "text")
     seen = source.mapInArrow(candidates(False), "x long, y int, id long").groupBy("x", "y").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     repeated = stored(seen.where(F.col("least") < F.col("most")).select("x", "y", "least"), "repeated-windows")
+    del seen
+    free_shuffles(spark)
     marked = source.mapInArrow(candidates(True), "x long, y int, id long, version long, starts array<int>").join(repeated, ["x", "y"]).where(F.col("id") > F.col("least"))
     # A document's marks are no more than its words.
-    return marked.groupBy("id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    marks = stored(marked.groupBy("id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts")), "marks")
+    del marked
+    free_shuffles(spark)  # the windows are gone before texts are joined to the marks
+    return marks
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
