@@ -24,6 +24,8 @@ SCALE = 256
 #: Rows of an index block, and queries of a chunk; a task holds one of each at a time.
 BLOCK_ROWS = 16384
 CHUNK_ROWS = 256
+#: Cells of the grid of blocks and chunks for each core.
+CELLS = 4
 #: Components beyond this size have no exact product sum in 64 bits.
 LARGEST = 1 << 24
 
@@ -175,39 +177,59 @@ def build_index(rows: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block", "dims").applyInPandas(pack, "block int, dims int, index binary")
 
 
+def grid(blocks: int, chunks: int, cells: int) -> tuple[int, int]:
+    """Parts of the blocks and slots of the chunks. Only where there are fewer blocks than cells are chunks told apart too."""
+    parts = min(blocks, cells)
+    return parts, min(chunks, -(-cells // parts))
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """query_id, rank, id, score: each query's k best rows by inner product, all if fewer.
 
-    rows and queries have id and q. A query meets only rows of its own length, and not those of its own id. Chunks of
-    queries visit every block of the index by an equality join on the block; each pair of a chunk and a block is one
-    bounded piece of work, and k candidates a block go on. Empty tables give an empty result; repeated ids are rows.
+    rows and queries have id and q. A query meets only rows of its own length, and not those of its own id. Blocks of the
+    index and chunks of queries are dealt to the cells of a grid, whose size goes by the cluster's cores and not by the
+    rows, so what travels grows in proportion to the tables. In a cell every chunk meets every block by an equality join,
+    which no broadcast through the driver replaces; each pair is one bounded piece of work, and k candidates a query and
+    cell go on. Empty tables give an empty result; repeated ids are rows.
     """
     blocks = max(1, -(-rows.count() // block_rows))
     chunks = max(1, -(-queries.count() // chunk_rows))
-    index = stored(build_index(rows, blocks), "bit-slices")
+    parts, slots = grid(blocks, chunks, CELLS * rows.sparkSession.sparkContext.defaultParallelism)
+    index = stored(build_index(rows, blocks), "bit-slices").withColumnRenamed("index", "index_")
     q = queries.withColumn("chunk", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(chunks)).cast("int")).withColumn("dims", F.size("q"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(group["q"])
-        return pd.DataFrame({"chunk": [0], "dims": [v.shape[1]], "ids": [group["id"].to_numpy(np.int64).tobytes()], "qs": [v.tobytes()]})
+        kind = next(x for x in ("<i2", "<i4", "<i8") if (v.astype(x) == v).all())
+        return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "dims": [v.shape[1]], "ids": [group["id"].to_numpy(np.int64).tobytes()], "kind": [kind], "qs": [v.astype(kind).tobytes()]})
 
-    packed = q.groupBy("chunk", "dims").applyInPandas(pack, "chunk int, dims int, ids binary, qs binary")
-    visits = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = visits.join(index, ["block", "dims"])  # chunks, which are small, travel to the blocks
-    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
-    if blocks < tasks:  # too few blocks to keep all cores busy
-        pairs = pairs.repartition(min(blocks * chunks, tasks))
+    packed = q.groupBy("chunk", "dims").applyInPandas(pack, "chunk int, dims int, ids binary, kind string, qs binary")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    visits = packed.withColumn("slot", F.col("chunk") % slots).withColumn("part", every(parts))
+    blocks_of = index.withColumn("part", F.col("block") % parts).withColumn("slot", every(slots))
+    cell = ["part", "slot", "dims"]
+    n = 2 * parts * slots  # so that few cells share a task
+    pairs = visits.repartition(n, *cell).join(blocks_of.repartition(n, *cell).hint("merge"), cell).coalesce(n)  # a join deals to spark.sql.shuffle.partitions at least, most of them empty here
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, ids, found = None, [], []
+
+        def best() -> pd.DataFrame:
+            return pd.DataFrame([(i, x, -t) for i, own in zip(ids, found, strict=True) for t, x in own], columns=["query_id", "id", "score"]).astype("int64")
+
         for batch in batches:
             for r in batch.itertuples():
+                if held != (r.chunk, r.dims, r.part):  # a chunk's blocks come one after the other
+                    yield best()
+                    held, ids = (r.chunk, r.dims, r.part), np.frombuffer(r.ids, np.int64).tolist()
+                    qs = np.frombuffer(r.qs, r.kind).astype(np.int64).reshape(len(ids), -1)
+                    found = [[] for _ in ids]
                 s = Slices.of(r.index_)
-                ids = np.frombuffer(r.ids, np.int64)
-                qs = np.frombuffer(r.qs, np.int64).reshape(len(ids), -1)
-                found = [(i, *x) for i, v in zip(ids.tolist(), qs, strict=True) for x in s.top(v, i, k)]
-                yield pd.DataFrame(found, columns=["query_id", "id", "score"]).astype("int64")
+                for at, (i, v) in enumerate(zip(ids, qs, strict=True)):
+                    found[at] = sorted(found[at] + [(-t, x) for x, t in s.top(v, i, k)])[:k]
+        yield best()
 
-    best = pairs.withColumnRenamed("index", "index_").mapInPandas(search, "query_id long, id long, score long")
+    best = pairs.mapInPandas(search, "query_id long, id long, score long")
     place = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -218,6 +218,16 @@ def test_top_k_against_brute_force(spark):
     assert bitsliced.top_k(few, few.where("id = 0")).count() == 2
 
 
+def test_top_k_over_many_blocks_sends_nothing_through_the_driver(spark):
+    q = spark.range(1200).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(9)) - F.when(j == 1, 40000).otherwise(4)).alias("q"))
+    got = bitsliced.top_k(q, q.where("id % 40 = 0"), block_rows=20, chunk_rows=10)
+    z = np.array([r["q"] for r in q.orderBy("id").collect()])
+    want = [(i, k + 1, j, -s) for i in range(0, 1200, 40) for k, (s, j) in enumerate(sorted((-int(s), j) for j, s in enumerate(z @ z[i]) if j != i)[:5])]
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in got.collect()) == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # small tables, which a join would else broadcast
+    assert bitsliced.grid(10**6, 10**5, 24) == (24, 1) and bitsliced.grid(4, 5, 24) == (4, 5) and bitsliced.grid(1, 1, 24) == (1, 1)
+
+
 # 4
 def jaccard(a, b):
     s = [({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()) for w in (x.split() for x in (a, b))]
