@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import textgeom
+from ..staging import stored
 from ..store import Block, with_fid
 from ..types import FID, field
 from . import parts
@@ -133,7 +134,7 @@ def run(spark: SparkSession, text: str) -> tuple[str, Block, dict[str, str]]:
                 df, order = read_shapefile(spark, s.path).drop("file"), ("row",)
             else:
                 raw = spark.read.format(s.driver.lower()).options(header=True, inferSchema=True).load(s.path)
-                df, order = raw.withColumn("geom", textgeom.st_from_wkt(F.col("wkt"))).drop("wkt"), ()
+                df, order = stored(raw.withColumn("geom", textgeom.st_from_wkt(F.col("wkt"))).drop("wkt"), "parsed"), ()  # texts are read once
             layers[s.name] = to_layer(df, "geom", *order, coords=s.coords, box=s.box, wide_strings=s.wide_strings)
         except Exception as x:  # noqa: BLE001  one bad source does not end the batch; the caller sees why
             failed[s.path] = str(x).splitlines()[0] if str(x) else type(x).__name__
