@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, mbr
+from ..operators import ranges
 
 EXTENT = (0.0, 0.0, 200000.0, 100.0)
 _li = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
@@ -99,13 +100,11 @@ def rect_clip_box(s: SparkSession, d: str) -> DataFrame:
 
 
 def bbox_join(s: SparkSession, d: str) -> DataFrame:
-    """Points of customers in boxes of suppliers: a range join through grid cells, so an equality join that any
-    number of machines can share, refined by the exact test."""
-    size = 1000.0
+    """How many customers lie in each supplier's box: the points up to its upper end less those below its lower end, so no
+    pair is ever made."""
     b = s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_acctbal") - 200).alias("lo"), (F.col("s_acctbal") + 200).alias("hi"))
-    b = b.withColumn("g", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
-    p = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal", F.floor(F.col("c_acctbal") / size).alias("g"))
-    return p.join(b, "g").where(F.col("c_acctbal").between(F.col("lo"), F.col("hi"))).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    p = s.read.parquet(f"{d}/customer.parquet")
+    return ranges.count_within(p, "c_acctbal", b, "s_suppkey", "lo", "hi")
 
 
 QUERIES = {
