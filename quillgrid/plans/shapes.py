@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, path, textgeom
 from ..sources import container
-from ..staging import shared_path
+from ..staging import shared_path, spread
 from ..store import Block, with_fid
 from ..types import BY_NAME, field
 
@@ -123,7 +123,7 @@ _BOX = "array(struct(double({0}) AS x, double({1}) AS y), struct(double({2}) AS
 
 
 def _box_pairs(s: SparkSession, d: str) -> DataFrame:
-    c = s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS k", "s_suppkey % 7 AS x", "s_suppkey % 5 AS y", "s_suppkey % 3 + 2 AS w", "s_suppkey % 4 AS u", "s_suppkey % 6 AS v")
+    c = spread(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey"), 1000).selectExpr("s_suppkey AS k", "s_suppkey % 7 AS x", "s_suppkey % 5 AS y", "s_suppkey % 3 + 2 AS w", "s_suppkey % 4 AS u", "s_suppkey % 6 AS v")
     return c.selectExpr("k", "x", "y", "w", "u", "v", f"array({_BOX.format('x', 'y', 'x + w', 'y + w')}) AS a", f"array({_BOX.format('u', 'v', 'u + 3', 'v + 3')}) AS b")
 
 

@@ -109,3 +109,29 @@ def test_shapefile_round_trip(spark, tmp_path):
     got = S.read_shapefile(spark, str(tmp_path / "a.shp")).orderBy("row").collect()
     assert [(r["name"], r["n"], r["v"], r["f"]) for r in got] == [("ü", 5, 1.5, True), ("b", -3, 0.25, False)]
     assert got[1]["geom"] is None and len(got[0]["geom"]["parts"]) == 2
+
+
+def test_null_and_empty_paths(spark):
+    """Columns are read a column of numbers at a time: nulls, empty rows and empty paths keep their places."""
+    from pyspark.sql import functions as F
+
+    from quillgrid.functions import geometry
+
+    square = [[{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]]
+    df = spark.createDataFrame([(0, square), (1, None), (2, []), (3, [[]]), (4, square + [[]] + square)], f"k int, p {geometry.PATHS}").coalesce(1)
+    none = F.array().cast(geometry.PATHS)
+    rows = df.where("k > 0").union(df.where("k = 0")).select("k", geometry.boolean("union", F.col("p"), none).alias("u"), geometry.boolean("xor", none, F.col("p")).alias("v")).orderBy("k").collect()
+    size = lambda n: [r[n] and len(r[n]) for r in rows]
+    assert size("u") == [1, None, [], [], 1] and size("v") == size("u")
+
+
+def test_rows_of_a_small_file_are_spread(spark, tmp_path):
+    """One task would read the file, however long each row takes."""
+    from pyspark.sql import functions as F
+
+    from quillgrid import catalog
+
+    spark.range(2500).select(F.col("id").alias("s_suppkey"), F.lit("n").alias("s_name"), F.lit(1).alias("s_nationkey"), F.lit(1.0).alias("s_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(60_000).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("s").alias("c_mktsegment")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("polygon_fills", "offset_joins", "polygon_lines", "polygon_tree", "text_formats", "blob_roundtrip"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3, name
