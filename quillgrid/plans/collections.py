@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import blobgeom, path
 from ..functions import collection as C
 from ..operators import grids
+from ..staging import spread
 from .shapes import _LINE, lines
 
 
@@ -55,7 +56,7 @@ def distance_to_line(s: SparkSession, d: str) -> DataFrame:
 
 def blob_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Points as database blobs, compressed ones and FGF, and read back."""
-    c = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", C.make_point(F.col("c_custkey").cast("double"), F.col("c_nationkey") + 0.5).alias("g"))
+    c = spread(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey"), 20_000).select("c_custkey", C.make_point(F.col("c_custkey").cast("double"), F.col("c_nationkey") + 0.5).alias("g"))
     x = lambda g: g["parts"][0]["points"][0]["x"]
     return c.select(
         "c_custkey", F.length(blobgeom.st_as_blob("g")).cast("long").alias("bytes"), x(blobgeom.st_from_blob(blobgeom.st_as_blob("g"))).alias("blob_x"),
